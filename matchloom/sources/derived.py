@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
@@ -207,6 +207,44 @@ TABLES["vectors"] = (
     "vec_id % 100 AS conf_pct, vec_id * 37 % 211 AS frame_n FROM embeddings"
 )
 
+# one pixel-to-metre homography per match; every fourth match has none
+TABLES["calibration"] = f"""
+WITH m AS (SELECT {idiv('o_orderkey', FRAMES_PER_MATCH)} AS match_id, o_orderkey % {FRAMES_PER_MATCH} AS f FROM orders)
+SELECT match_id, 3.1e-2 + match_id % 5 * 5e-4 AS h11, match_id % 3 * 8e-4 AS h12, match_id % 4 * -4e-1 AS h13,
+  match_id % 2 * 3e-4 AS h21, 2.7e-2 + match_id % 3 * 4e-4 AS h22, 2e-1 + match_id % 2 * 1e-1 AS h23,
+  match_id % 5 * 1e-5 AS h31, match_id % 3 * 2e-5 AS h32, 1e0 AS h33
+FROM m WHERE f = 0 AND match_id % 4 <> 3
+"""
+
+# the two goal boxes of a match in pixels
+TABLES["goal_boxes"] = f"""
+WITH m AS (SELECT {idiv('o_orderkey', FRAMES_PER_MATCH)} AS match_id, o_orderkey % {FRAMES_PER_MATCH} AS f FROM orders),
+b AS (SELECT match_id, explode(sequence(0L, 1L)) AS side_n FROM m WHERE f = 0)
+SELECT match_id, CASE WHEN side_n = 0 THEN 'left' ELSE 'right' END AS side,
+  CASE WHEN side_n = 0 THEN 0 ELSE 1250 - match_id % 5 END AS gx1, CASE WHEN side_n = 0 THEN 30 + match_id % 5 ELSE 1280 END AS gx2,
+  295 + match_id % 7 AS gy1, 415 + match_id % 7 AS gy2 FROM b
+"""
+
+# free-form model replies: JSON, fenced JSON, prose
+TABLES["model_replies"] = """
+SELECT conv_id, turn, CASE (conv_id + turn) % 5
+  WHEN 0 THEN concat('{"outcome": "goal", "confidence": 0.', CAST(turn % 9 + 1 AS VARCHAR(8)), ', "reason": "turn ', CAST(turn AS VARCHAR(8)), '"}')
+  WHEN 1 THEN concat('Here it is: {"outcome": "Save", "reason": "c', CAST(conv_id AS VARCHAR(8)), '"} done')
+  WHEN 2 THEN concat('```json\n{"internal_reasoning": " r', CAST(conv_id AS VARCHAR(8)), ' ", "tactical_insight": "go wide"}\n```')
+  WHEN 3 THEN concat(text, ' a clear Save or pass') ELSE text END AS reply
+FROM conversations
+"""
+
+# alert texts with a type
+TABLES["alert_texts"] = """
+SELECT event_id, concat(event_type, ' player ', CAST(user_id AS VARCHAR(8)), CASE event_id % 7
+  WHEN 0 THEN ' Substitute Immediately' WHEN 1 THEN ' switch to 6-0 now.' WHEN 2 THEN ' is leaving open the wing'
+  WHEN 3 THEN ' RED CARD risk' WHEN 4 THEN ' passive play' ELSE ' holds' END) AS alert_text,
+  CASE WHEN event_id % 11 = 0 THEN 'passive_violation' WHEN event_id % 11 = 1 THEN 'goal_against' ELSE event_type END AS alert_type
+FROM events
+"""
+
+_LONG = ("tracks", "ball", "poses", "candidates")
 _DEPS = {"poses": ("tracks",)}
 
 
@@ -216,10 +254,15 @@ def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = TABLES[name]
     for dep in _DEPS.get(name, ()):
         text = text.replace("{" + dep + "}", TABLES[dep])
+    text = text.replace("{", "{{").replace("}", "}}")
     args = {b: spark_table(spark, sf_dir, b) for b in BASE if re.search(rf"\bFROM {b}\b", text)}
     for b in args:
         text = re.sub(rf"\bFROM {b}\b", "FROM {" + b + "}", text)
-    return spark.sql(text.replace("VARCHAR(8)", "STRING"), **args)
+    df = spark.sql(text.replace("VARCHAR(8)", "STRING"), **args)
+    if name in _LONG:
+        # one inline per row keeps filters and projections above from copying the long formulas
+        df = df.select(F.inline(F.array(F.struct(*df.columns))))
+    return df
 
 
 def duck(text: str) -> str:
