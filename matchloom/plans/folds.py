@@ -9,15 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchloom.plans.ordered import BLOCK, scan
+from matchloom.plans.ordered import BLOCK, segments
 
 
 def bursts(df: DataFrame, keys: list[str], order: str, gap: int, block: int = BLOCK) -> DataFrame:
     """Number the bursts of a key: a new one starts after a gap of at least ``gap``."""
-    d = scan(df, keys, order, lag={"_p": F.col(order)}, block=block)
-    new = F.when(F.col("_p").isNull() | (F.col(order) - F.col("_p") >= gap), 1).otherwise(0).cast("bigint")
-    d = d.withColumn("_new", new).drop("_p")
-    return scan(d, keys, order, sums={"burst": F.col("_new")}, block=block).drop("_new")
+    return segments(df, keys, order, [order], lambda p, c: c(order) - p(order) >= gap, "burst", block)
 
 
 def greedy_gap(order: Column, cooldown: int) -> Column:

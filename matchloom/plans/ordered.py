@@ -93,8 +93,7 @@ def scan(
     pos = F.struct(*by)
     aggs = []
     if lag:
-        tail = F.struct(*[F.col(f"_in_{n}").alias(n) for n in lag])
-        aggs.append(F.max_by(tail, pos).alias("_tail"))
+        aggs.append(F.max_by(F.struct(*[F.col(f"_in_{n}").alias(n) for n in lag]), pos).alias("_tail"))
     aggs += [F.sum(f"_in_{n}").alias(f"_s_{n}") for n in sums]
     aggs += [F.max(f"_in_{n}").alias(f"_s_{n}") for n in maxes]
     aggs += [
@@ -128,9 +127,40 @@ def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "rn", bl
     return scan(df, keys, order, sums={name: F.lit(1).cast("bigint")}, block=block, tie=tie)
 
 
+def segments(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    cols: list[str],
+    starts: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    name: str = "segment",
+    block: int = BLOCK,
+) -> DataFrame:
+    """Number the segments of a key; a row opens one when ``starts(prev, cur)`` holds.
+
+    ``prev(c)`` and ``cur(c)`` give a column of the previous and the current row, for the
+    ``cols`` listed.  Starts are counted inside blocks; only the first row of a block waits
+    for the last row of the block before, which the block summary supplies.
+    """
+    src = df.withColumn("_blk", _block(order, block)).withColumn("_cur", F.struct(*cols))
+    w = W.partitionBy(*keys, "_blk").orderBy(order)
+    local = src.withColumn("_prev", F.lag("_cur").over(w))
+    inner = F.coalesce(starts(lambda c: F.col(f"_prev.{c}"), lambda c: F.col(f"_cur.{c}")), F.lit(False))
+    local = local.withColumn("_st", F.when(F.col("_prev").isNotNull() & inner, 1).otherwise(0).cast("bigint"))
+    local = local.withColumn("_n", F.sum("_st").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    per_block = local.groupBy(*keys, "_blk").agg(
+        F.min_by("_cur", order).alias("_first"), F.max_by("_cur", order).alias("_last"), F.sum("_st").alias("_inner")
+    )
+    wb = W.partitionBy(*keys).orderBy("_blk")
+    chained = per_block.withColumn("_before", F.lag("_last").over(wb))
+    opens = F.coalesce(starts(lambda c: F.col(f"_before.{c}"), lambda c: F.col(f"_first.{c}")), F.lit(False))
+    chained = chained.withColumn("_open", F.when(F.col("_before").isNull() | opens, 1).otherwise(0).cast("bigint"))
+    base = F.sum(F.col("_open") + F.col("_inner")).over(wb.rowsBetween(W.unboundedPreceding, -1))
+    carry = chained.select(*keys, "_blk", (F.coalesce(base, F.lit(0)) + F.col("_open")).alias("_base"))
+    return local.join(carry, [*keys, "_blk"]).select(*df.columns, (F.col("_base") + F.col("_n")).alias(name))
+
+
 def islands(df: DataFrame, keys: list[str], order: str, value: Column, name: str = "island", block: int = BLOCK) -> DataFrame:
     """Number the maximal runs of equal ``value`` per key (null equals null)."""
-    d = scan(df.withColumn("_v", value), keys, order, lag={"_pv": F.col("_v"), "_seen": F.lit(True)}, block=block)
-    start = F.when(F.col("_seen").isNull() | ~F.col("_v").eqNullSafe(F.col("_pv")), 1).otherwise(0).cast("bigint")
-    d = d.withColumn("_st", start).drop("_pv", "_seen", "_v")
-    return scan(d, keys, order, sums={name: F.col("_st")}, block=block).drop("_st")
+    d = df.withColumn("_v", value)
+    return segments(d, keys, order, ["_v"], lambda p, c: ~c("_v").eqNullSafe(p("_v")), name, block).drop("_v")
