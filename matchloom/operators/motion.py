@@ -38,13 +38,14 @@ def steps(tracks: DataFrame, max_gap: int = 12, fps: float = P.FPS, max_speed: f
 
 def avg_speed(tracks: DataFrame, rows: int = 90) -> DataFrame:
     """Mean of the positive speeds among the last ``rows`` samples."""
-    numbered = number_rows(steps(tracks), KEYS, "frame_n")
+    numbered = number_rows(tracks.select(*KEYS, "frame_n", "x_cm", "y_cm"), KEYS, "frame_n")
 
     def build(d, keys):
+        d = _step_cols(d, keys, 12, P.FPS, P.MAX_SPEED_MS)
         w = W.partitionBy(*keys).orderBy("rn").rowsBetween(-(rows - 1), 0)
         return d.withColumn("avg_speed", F.avg(F.when(F.col("speed") > 0, F.col("speed"))).over(w))
 
-    return halo(numbered, KEYS, "rn", rows - 1, build)
+    return halo(numbered, KEYS, "rn", rows, build)
 
 
 def sprints(tracks: DataFrame, min_speed: float = P.SPRINT_MS, min_s: float = P.SPRINT_MIN_S, fps: float = P.FPS) -> DataFrame:

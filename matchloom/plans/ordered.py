@@ -65,18 +65,19 @@ def scan(
     sums: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
     last: dict[str, Column] | None = None,
+    prior: dict[str, Column] | None = None,
     block: int = BLOCK,
     tie: str | None = None,
 ) -> DataFrame:
     """Add, over all earlier rows of the key in ``order`` (unique per key with ``tie``):
 
     ``lag`` previous row's value, ``sums`` / ``maxes`` running value including the
-    current row, ``last`` last non-null value including the current row.
+    current row, ``last`` last non-null value including the current row, ``prior`` excluding it.
     """
-    lag, sums, maxes, last = lag or {}, sums or {}, maxes or {}, last or {}
+    lag, sums, maxes, last, prior = lag or {}, sums or {}, maxes or {}, last or {}, prior or {}
     by = [order] + ([tie] if tie else [])
     src = df.withColumn("_blk", _block(order, block))
-    for n, c in {**lag, **sums, **maxes, **last}.items():
+    for n, c in {**lag, **sums, **maxes, **last, **prior}.items():
         src = src.withColumn(f"_in_{n}", c)
     w = W.partitionBy(*keys, "_blk").orderBy(*by)
     run = w.rowsBetween(W.unboundedPreceding, 0)
@@ -89,6 +90,10 @@ def scan(
         local = local.withColumn(f"_l_{n}", F.max(f"_in_{n}").over(run))
     for n in last:
         local = local.withColumn(f"_l_{n}", F.last(f"_in_{n}", ignorenulls=True).over(run))
+    for n in prior:
+        earlier = w.rowsBetween(W.unboundedPreceding, -1)
+        local = local.withColumn(f"_l_{n}", F.last(f"_in_{n}", ignorenulls=True).over(earlier))
+    last = {**last, **prior}
 
     pos = F.struct(*by)
     aggs = []
@@ -135,9 +140,12 @@ def segments(
     starts: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     name: str = "segment",
     block: int = BLOCK,
+    row_number: str | None = None,
 ) -> DataFrame:
     """Number the segments of a key; a row opens one when ``starts(prev, cur)`` holds.
 
+    ``row_number`` names an optional dense row number of the key from the same pass.
+
     ``prev(c)`` and ``cur(c)`` give a column of the previous and the current row, for the
     ``cols`` listed.  Starts are counted inside blocks; only the first row of a block waits
     for the last row of the block before, which the block summary supplies.
@@ -147,20 +155,29 @@ def segments(
     local = src.withColumn("_prev", F.lag("_cur").over(w))
     inner = F.coalesce(starts(lambda c: F.col(f"_prev.{c}"), lambda c: F.col(f"_cur.{c}")), F.lit(False))
     local = local.withColumn("_st", F.when(F.col("_prev").isNotNull() & inner, 1).otherwise(0).cast("bigint"))
+    local = local.withColumn("_rn", F.row_number().over(w))
     local = local.withColumn("_n", F.sum("_st").over(w.rowsBetween(W.unboundedPreceding, 0)))
     per_block = local.groupBy(*keys, "_blk").agg(
-        F.min_by("_cur", order).alias("_first"), F.max_by("_cur", order).alias("_last"), F.sum("_st").alias("_inner")
+        F.min_by("_cur", order).alias("_first"), F.max_by("_cur", order).alias("_last"), F.sum("_st").alias("_inner"),
+        F.count(F.lit(1)).alias("_rows"),
     )
     wb = W.partitionBy(*keys).orderBy("_blk")
     chained = per_block.withColumn("_before", F.lag("_last").over(wb))
     opens = F.coalesce(starts(lambda c: F.col(f"_before.{c}"), lambda c: F.col(f"_first.{c}")), F.lit(False))
     chained = chained.withColumn("_open", F.when(F.col("_before").isNull() | opens, 1).otherwise(0).cast("bigint"))
-    base = F.sum(F.col("_open") + F.col("_inner")).over(wb.rowsBetween(W.unboundedPreceding, -1))
-    carry = chained.select(*keys, "_blk", (F.coalesce(base, F.lit(0)) + F.col("_open")).alias("_base"))
-    return local.join(carry, [*keys, "_blk"]).select(*df.columns, (F.col("_base") + F.col("_n")).alias(name))
+    before = wb.rowsBetween(W.unboundedPreceding, -1)
+    base = F.sum(F.col("_open") + F.col("_inner")).over(before)
+    carry = chained.select(
+        *keys, "_blk", (F.coalesce(base, F.lit(0)) + F.col("_open")).alias("_base"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
+    )
+    out = [(F.col("_base") + F.col("_n")).alias(name)]
+    if row_number:
+        out.append((F.col("_rows_before") + F.col("_rn")).alias(row_number))
+    return local.join(carry, [*keys, "_blk"]).select(*df.columns, *out)
 
 
-def islands(df: DataFrame, keys: list[str], order: str, value: Column, name: str = "island", block: int = BLOCK) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], order: str, value: Column, name: str = "island", block: int = BLOCK, row_number: str | None = None) -> DataFrame:
     """Number the maximal runs of equal ``value`` per key (null equals null)."""
     d = df.withColumn("_v", value)
-    return segments(d, keys, order, ["_v"], lambda p, c: ~c("_v").eqNullSafe(p("_v")), name, block).drop("_v")
+    return segments(d, keys, order, ["_v"], lambda p, c: ~c("_v").eqNullSafe(p("_v")), name, block, row_number).drop("_v")

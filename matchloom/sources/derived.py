@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from matchloom.session import checkpoint_dir
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
@@ -93,7 +95,7 @@ g AS (SELECT match_id, frame_n, noise, noise2, {_x(_hold)} AS hx, {_y(_hold)} AS
         CASE WHEN {_shot} THEN 850 + match_id * 17 % 300 ELSE {_y(_next)} END AS ty FROM f),
 b AS (SELECT match_id, frame_n, noise, noise2,
         CASE WHEN frame_n % 40 < 25 THEN hx + 15 ELSE {idiv(f'hx * (15 - {_u}) + tx * {_u}', 15)} END AS ux,
-        CASE WHEN frame_n % 40 < 25 THEN hy + 20 ELSE {idiv(f'hy * (15 - {_u}) + ty * {_u}', 15)} END AS uy,
+        CASE WHEN frame_n % 40 < 25 THEN hy + abs(frame_n % 8 - 4) * 12 ELSE {idiv(f'hy * (15 - {_u}) + ty * {_u}', 15)} END AS uy,
         CASE WHEN noise % 11 = 0 OR {idiv('frame_n', 30)} % 13 = 5 THEN 'lost'
              WHEN noise % 7 = 0 THEN 'phantom' ELSE 'real' END AS state FROM g)
 SELECT match_id, frame_n, state,
@@ -114,7 +116,7 @@ SELECT match_id, frame_n, player_id, slot, team, h_px,
   array({', '.join(f'px + {a} + (noise * {i + 3} + slot + frame_n) % 7' for i, a in enumerate(_kx))}) AS kx,
   array({', '.join(f"py - h_px + {idiv(f'h_px * {a}', 100)} + " + (f"(CASE WHEN frame_n % 75 < 20 THEN -{b} ELSE 0 END)" if (b := {9: 34, 7: 16}.get(i)) else f'(noise2 + {i}) % 3') for i, a in enumerate(_ky))}) AS ky,
   array({', '.join(f'(noise * 3 + slot * 7 + {i * 13}) % 100' for i in range(17))}) AS kc
-FROM ({{tracks}}) t
+FROM {{tracks}} t
 """
 
 # one row per frame and ball candidate; candidate 0 is near the true ball, 3 is a fixed marker
@@ -252,17 +254,30 @@ def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = TABLES[name]
-    for dep in _DEPS.get(name, ()):
-        text = text.replace("{" + dep + "}", TABLES[dep])
+    deps = {d: spark_table(spark, sf_dir, d) for d in _DEPS.get(name, ())}
+    if deps:
+        return staged(spark.sql(text, **deps), sf_dir, name)
     text = text.replace("{", "{{").replace("}", "}}")
     args = {b: spark_table(spark, sf_dir, b) for b in BASE if re.search(rf"\bFROM {b}\b", text)}
     for b in args:
         text = re.sub(rf"\bFROM {b}\b", "FROM {" + b + "}", text)
     df = spark.sql(text.replace("VARCHAR(8)", "STRING"), **args)
-    if name in _LONG:
-        # one inline per row keeps filters and projections above from copying the long formulas
-        df = df.select(F.inline(F.array(F.struct(*df.columns))))
-    return df
+    return staged(df, sf_dir, name) if name in _LONG else df
+
+
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """Write a table once per application to the shared folder and read it back, so later
+    queries get a plain columnar scan with pruning and pushdown instead of the long formulas."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        path = f"{checkpoint_dir(spark)}/staged/{key[0]}/{abs(hash(sf_dir))}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        _STAGED[key] = path
+    return spark.read.schema(df.schema).parquet(_STAGED[key])
 
 
 def duck(text: str) -> str:
@@ -274,7 +289,7 @@ def duck(text: str) -> str:
 def duck_table(name: str) -> str:
     text = TABLES[name]
     for dep in _DEPS.get(name, ()):
-        text = text.replace("{" + dep + "}", TABLES[dep])
+        text = text.replace("{" + dep + "}", f"({TABLES[dep]})")
     return duck(text)
 
 
