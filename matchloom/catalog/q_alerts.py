@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from matchloom.catalog.q_motion import ROLE, STEPS, greedy
+from matchloom.catalog.q_motion import greedy
 from matchloom.catalog.q_shape import HOLE, LINES, near_holder
 from matchloom.catalog.registry import query
-from matchloom.operators import alerts as A, motion as M, shape as S
+from matchloom.operators import alerts as A, shape as S
 
 
 def alert(name, pre, marks, keys, gap):
@@ -16,9 +16,11 @@ def lines(t):
     return S.ball_lines(t.tracks, near_holder(t))
 
 
-@alert("al_role_drift", f"{STEPS()}, {ROLE}", "SELECT match_id, player_id, role, frame_n FROM tracks JOIN ro USING (match_id, player_id) WHERE (role = 'RW' AND y_cm > 900) OR (role = 'LW' AND y_cm < 1100)", ["match_id", "player_id", "role"], 375)
+@alert("al_role_drift", "ro AS (SELECT DISTINCT match_id, player_id, CASE slot % 6 WHEN 1 THEN 'RW' WHEN 2 THEN 'LW' ELSE 'CB' END AS role FROM tracks)", "SELECT match_id, player_id, role, frame_n FROM tracks JOIN ro USING (match_id, player_id) WHERE (role = 'RW' AND y_cm > 900) OR (role = 'LW' AND y_cm < 1100)", ["match_id", "player_id", "role"], 375)
 def _(t):
-    return A.role_drift(t.tracks, M.roles(t.tracks))
+    slot = F.col("slot") % 6
+    role = F.when(slot == 1, "RW").when(slot == 2, "LW").otherwise("CB")
+    return A.role_drift(t.tracks, t.tracks.select("match_id", "player_id", role.alias("role")).distinct())
 
 
 @alert("al_too_many", "z AS (SELECT 1)", "SELECT match_id, team, frame_n FROM tracks GROUP BY ALL HAVING count(*) > 6", ["match_id", "team"], 100)

@@ -221,7 +221,9 @@ def tracklets(tracks: DataFrame, split: int = 5) -> DataFrame:
 
 def with_vectors(pieces: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
     d = pieces.withColumn("vec_id", (F.col("player_id") * 7 + F.col("seg")) % n)
-    return d.join(vectors.select("vec_id", "vec"), "vec_id", "left")
+    hist = F.transform(F.slice("vec", 1, 8), lambda x: F.abs(x.cast("double")))
+    v = vectors.select("vec_id", V.unit(F.col("vec")).alias("unit"), V.centred_unit(hist).alias("hist"))
+    return d.join(v, "vec_id", "left")
 
 
 def lost_pairs(pieces: DataFrame, max_gap: int) -> DataFrame:
@@ -241,16 +243,14 @@ def piece_scores(pieces: DataFrame, max_gap: int = 90, radius: float = 180.0, gr
     reach = F.lit(radius) + growth * F.greatest(F.col("gap") - 6, F.lit(0))
     d = d.withColumn("away", away).withColumn("reach", reach).filter(F.col("away") <= F.col("reach") * 2)
     zero = F.lit(0.0)
-    hist = [F.transform(F.slice(F.col(c), 1, 8), lambda x: F.abs(x.cast("double"))) for c in ("vec", "l_vec")]
+    d = d.withColumn("cos", V.batch_dot("unit", "l_unit")).withColumn("cor", V.batch_dot("hist", "l_hist"))
     prop = F.abs(F.col("h_px") - F.col("l_h_px")) / F.greatest("h_px", "l_h_px")
-    both = F.col("vec").isNotNull() & F.col("l_vec").isNotNull()
     score = (
-        F.greatest(zero, 1.0 - F.col("away") / F.col("reach")) * 0.35
-        + F.when(both, F.greatest(zero, V.cosine(F.col("vec"), F.col("l_vec")))).otherwise(zero) * 0.35
-        + F.when(both, F.greatest(zero, correlation(*hist))).otherwise(zero) * 0.20
-        + F.greatest(zero, 1.0 - prop * 3.0) * 0.10
+        F.greatest(zero, 1.0 - F.col("away") / F.col("reach")) * 0.35 + F.greatest(zero, F.col("cos")) * 0.35
+        + F.greatest(zero, F.col("cor")) * 0.20 + F.greatest(zero, 1.0 - prop * 3.0) * 0.10
+        + F.when(F.col("team") == F.col("l_team"), F.lit(0.05)).otherwise(zero)
     )
-    score = F.when(F.col("team") == F.col("l_team"), F.least(F.lit(1.0), score + 0.05)).otherwise(score)
+    score = F.least(F.lit(1.0), score)
     return d.withColumn("score", score).filter(F.col("score") >= accept).select("match_id", F.col("tid").alias("a"), F.col("l_tid").alias("b"), "score")
 
 
@@ -259,7 +259,7 @@ def lost_matches(pieces: DataFrame, max_gap: int = 100, sigma: float = 150.0, ac
     d = lost_pairs(pieces, max_gap)
     gap = F.col("f0") - F.col("l_f1")
     away = dist(F.col("x0"), F.col("y0"), F.col("l_x1") + F.col("l_vx") * gap, F.col("l_y1") + F.col("l_vy") * gap)
-    score = V.cosine(F.col("vec"), F.col("l_vec")) * 0.70 + F.exp(-(away * away) / (2 * sigma * sigma)) * 0.30
+    score = V.batch_dot("unit", "l_unit") * 0.70 + F.exp(-(away * away) / (2 * sigma * sigma)) * 0.30
     d = d.withColumn("score", score).filter(F.col("score") >= accept)
     return d.groupBy("match_id", "tid").agg(F.max(F.struct("score", (-F.col("l_tid")).alias("neg"))).alias("m")).select(
         "match_id", F.col("tid").alias("a"), (-F.col("m.neg")).alias("b"), F.col("m.score").alias("score"))
