@@ -6,6 +6,7 @@ scan, so neither a long match nor a hot player lands in one task.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from matchloom import params as P
@@ -15,6 +16,7 @@ from matchloom.functions.scoring import norm_compare
 from matchloom.operators.calibrate import against_norms
 from matchloom.plans.folds import debounce
 from matchloom.plans.ordered import BLOCK, halo, number_rows, scan
+from matchloom.session import cut_lineage
 
 KEYS = ["match_id", "player_id"]
 
@@ -111,39 +113,32 @@ def stamina(tracks: DataFrame, fps: float = P.FPS, lo: int = 10 * SCALE, hi: int
     so a block reduces to three numbers, the blocks of a key are chained over
     those, and every block then replays from its own start value.
     """
-    d = steps(tracks, max_gap=24, fps=fps).select(*KEYS, "frame_n", stamina_delta(F.col("speed"), fps).alias("d"))
-    packed = d.groupBy(*KEYS, F.floor(F.col("frame_n") / F.lit(float(block))).cast("bigint").alias("b")).agg(
-        F.array_sort(F.collect_list(F.struct("frame_n", "d"))).alias("rows")
-    )
+    by = [*KEYS, "b"]
+    d = cut_lineage(steps(tracks.select(*KEYS, "frame_n", "x_cm", "y_cm"), max_gap=24, fps=fps).select(
+        *KEYS, "frame_n", F.floor(F.col("frame_n") / F.lit(float(block))).cast("bigint").alias("b"), stamina_delta(F.col("speed"), fps).alias("d")))  # read twice below
     unit = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(lo).cast("bigint").alias("f"), F.lit(hi).cast("bigint").alias("c"))
-    packed = packed.withColumn(
-        "m",
+    deltas = F.transform(F.array_sort(F.collect_list(F.struct("frame_n", "d"))), lambda r: r["d"])  # one block of rows
+    maps = d.groupBy(*by).agg(deltas.alias("ds")).select(
+        *by,
         F.aggregate(
-            "rows", unit,
-            lambda m, r: F.struct(
-                (m["a"] + r["d"]).alias("a"), _clamp(m["f"] + r["d"], lo, hi).alias("f"), _clamp(m["c"] + r["d"], lo, hi).alias("c")
-            ),
-        ),
+            "ds", unit,
+            lambda m, x: F.struct((m["a"] + x).alias("a"), _clamp(m["f"] + x, lo, hi).alias("f"), _clamp(m["c"] + x, lo, hi).alias("c")),
+        ).alias("m"),
     )
     w = W.partitionBy(*KEYS).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    chain = packed.select(*KEYS, "b", F.col("m").alias("m")).select(
-        *KEYS, F.col("b"), F.coalesce(F.collect_list("m").over(w), F.array().cast("array<struct<a:bigint,f:bigint,c:bigint>>")).alias("ms")
-    )
-    start = F.aggregate(
-        "ms", F.lit(hi).cast("bigint"), lambda s, m: F.greatest(m["f"], F.least(m["c"], s + m["a"]))
-    )
-    starts = chain.select(*KEYS, "b", start.alias("s0"))
-    rows = packed.join(starts, [*KEYS, "b"])
-    none = F.array().cast("array<struct<frame_n:bigint,s:bigint>>")
-    replay = F.aggregate(
-        "rows", F.struct(F.col("s0").alias("s"), none.alias("out")),
-        lambda acc, r: F.struct(
-            _clamp(acc["s"] + r["d"], lo, hi).alias("s"),
-            F.array_append(acc["out"], F.struct(r["frame_n"].alias("frame_n"), _clamp(acc["s"] + r["d"], lo, hi).alias("s"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return rows.select(*KEYS, F.explode(replay).alias("r")).select(*KEYS, "r.frame_n", F.col("r.s").alias("stamina"))
+    chain = maps.select(*by, F.collect_list("m").over(w).alias("ms"))
+    start = F.aggregate("ms", F.lit(hi).cast("bigint"), lambda s, m: F.greatest(m["f"], F.least(m["c"], s + m["a"])))
+    rows = d.join(chain.select(*by, start.alias("s0")), by)
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_n")
+        s, out = int(pdf.s0.iloc[0]), []
+        for x in pdf.d.tolist():
+            s = min(hi, max(lo, s + x))
+            out.append(s)
+        return pdf[[*KEYS, "frame_n"]].assign(stamina=out)
+
+    return rows.groupBy(*by).applyInPandas(replay, "match_id bigint, player_id bigint, frame_n bigint, stamina bigint")
 
 
 def rest_windows(tracks: DataFrame, rest_s: float = 30.0, fps: float = P.FPS) -> DataFrame:
