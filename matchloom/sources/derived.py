@@ -259,12 +259,20 @@ def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return staged(spark.sql(text, **deps), sf_dir, name)
     text = text.replace("{", "{{").replace("}", "}}")
     args = {b: spark_table(spark, sf_dir, b) for b in BASE if re.search(rf"\bFROM {b}\b", text)}
+    if name in _LONG:
+        args = {b: spread(df) for b, df in args.items()}
     for b in args:
         text = re.sub(rf"\bFROM {b}\b", "FROM {" + b + "}", text)
     df = spark.sql(text.replace("VARCHAR(8)", "STRING"), **args)
     return staged(df, sf_dir, name) if name in _LONG else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for a table that sits in fewer splits than there are cores (one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _STAGED: dict[tuple[str, str, str], str] = {}
 
 
