@@ -117,18 +117,22 @@ class KnownWords(dict):
     def __init__(self, words: Bloom, most: int = 500_000):
         self.words, self.most = words, most
 
-    def __missing__(self, w: bytes) -> bool:
-        if len(self) >= self.most:
-            self.clear()
-        ok = self[w] = bool(self.words.has(np.array([xxh64_intdigest(w, 42)], np.uint64))[0])
-        return ok
+    def of(self, words: list[bytes]) -> np.ndarray:
+        new = [w for w in set(words) if w not in self]
+        if new:
+            if len(self) + len(new) > self.most:
+                self.clear()
+                new = list(set(words))
+            h = np.fromiter((xxh64_intdigest(w, 42) for w in new), np.uint64, len(new))
+            self.update(zip(new, self.words.has(h).tolist(), strict=True))
+        return np.fromiter(map(self.__getitem__, words), bool, len(words))
 
 
 def candidates_in(words: list[bytes], lengths: list[int], known: KnownWords, keys: Bloom) -> list[tuple[int, int]]:
     """(position, key) of the shingles of one document that both filters let through."""
     out: list[tuple[int, int]] = []
     n = len(words)
-    ok = np.fromiter(map(known.__getitem__, words), bool, n)
+    ok = known.of(words)
     for g in lengths:
         if n >= g:
             run = ok[: n - g + 1].copy()
