@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from matchloom.llm import op1_simhash, op3_quality, op4_decontaminate, op5_bpe, op10_secrets
+from matchloom.llm import op1_simhash, op2_toxicity, op3_quality, op4_decontaminate, op5_bpe, op6_pii, op8_lm, op9_licences, op10_secrets
 from matchloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_simhash.simhash_groups(table(spark, sf_dir, "documents"), **op1_simhash.PRODUCTION).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **op2_toxicity.PRODUCTION)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **op3_quality.PRODUCTION)
 
@@ -28,6 +32,19 @@ def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_bpe.bpe(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op6_pii.find(table(spark, sf_dir, "documents"), **op6_pii.PRODUCTION)
+    return found.select("doc_id", *[f"n_{k}" for k in op6_pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), F.col("all_spans").alias("spans"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_lm.score(table(spark, sf_dir, "documents"), **op8_lm.PRODUCTION)
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets.scan(table(spark, sf_dir, "documents"), **op10_secrets.PRODUCTION)
 
