@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from matchloom.llm import op1_simhash, op2_toxicity, op3_quality, op4_decontaminate, op5_bpe, op6_pii, op8_lm, op9_licences, op10_secrets
+from matchloom.llm import op1_simhash, op2_toxicity, op3_quality, op4_decontaminate, op5_bpe, op6_pii, op7_suffix, op8_lm, op9_licences, op10_secrets
 from matchloom.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in op6_pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), F.col("all_spans").alias("spans"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_suffix.repeats(table(spark, sf_dir, "documents"), **op7_suffix.PRODUCTION)
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_lm.score(table(spark, sf_dir, "documents"), **op8_lm.PRODUCTION)
 
