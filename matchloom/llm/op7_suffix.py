@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from matchloom.llm.common import cut_lineage, map_batches, narrow
 
-PRODUCTION = {"length": 400, "crowd": 2000, "block_bytes": 3 << 20}
+PRODUCTION = {"length": 400, "crowd": 2000, "block_bytes": 1 << 20}
 GRAM = 16
 #: A perfect difference set, every remainder modulo 31 is a difference of two of these.
 COVER, MODULUS = (0, 1, 3, 8, 12, 18), 31
@@ -298,7 +298,7 @@ def removed_ranges(starts: list[tuple[int, int]], length: int) -> list[list[int]
     return out
 
 
-def repeats(docs: DataFrame, length: int = 400, crowd: int = 2000, block_bytes: int = 3 << 20, kept: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 400, crowd: int = 2000, block_bytes: int = 1 << 20, kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with `kept`, the remaining bytes too."""
     if length < MODULUS * 8 + 2 * MODULUS:
         raise ValueError("the ranks used reach 248 bytes and more")
@@ -321,7 +321,7 @@ def repeats(docs: DataFrame, length: int = 400, crowd: int = 2000, block_bytes:
         return step
 
     found = cut_lineage(map_batches(rows.where(F.octet_length("text") >= length).select("h1", "h2", "text"), keys_of, "key long, h1 long, h2 long, times long"))
-    by_key = found.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("times").alias("most"), F.count("*").alias("n"))
+    by_key = found.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("times").alias("most"), F.sum("times").alias("n"))
     wanted = by_key.where("lo < hi OR most > 1").select("key", F.ceil(F.col("n") / crowd).cast("int").alias("shares"))
     lists = found.join(wanted, "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("key", "shares")).alias("keys"))
     reps = lists.join(copies, ["h1", "h2"]).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "rep", "n", "keys")
