@@ -147,7 +147,7 @@ PIECES = """g0 AS (SELECT *, CASE WHEN frame_n - lag(frame_n) OVER w > 1 THEN 1
   g1 AS (SELECT *, 1 + sum(st) OVER (PARTITION BY match_id, player_id ORDER BY frame_n) AS seg FROM g0),
   pc AS (SELECT match_id, CAST(player_id * 1000 + seg AS BIGINT) AS tid, player_id, seg, any_value(team) AS team, any_value(h_px) AS h_px, min(frame_n) AS f0, arg_min(px, frame_n) AS x0, arg_min(py, frame_n) AS y0, max(frame_n) AS f1, arg_max(px, frame_n) AS x1, arg_max(py, frame_n) AS y1,
    (arg_max(px, frame_n) - arg_min(px, frame_n)) * 1e0 / greatest(max(frame_n) - min(frame_n), 1) AS vx, (arg_max(py, frame_n) - arg_min(py, frame_n)) * 1e0 / greatest(max(frame_n) - min(frame_n), 1) AS vy FROM g1 GROUP BY match_id, player_id, seg),
-  pv AS MATERIALIZED (SELECT pc.*, CAST(vec AS DOUBLE[]) AS vec FROM pc LEFT JOIN vectors ON vec_id = (pc.player_id * 7 + seg) % 500)"""
+  pv AS MATERIALIZED (SELECT pc.*, CAST(vec AS DOUBLE[]) AS vec FROM pc LEFT JOIN vectors ON vec_id = (pc.player_id * 7 + seg) % (SELECT count(*) FROM vectors))"""
 _cos = "CASE WHEN n.vec IS NULL OR l.vec IS NULL THEN 0e0 ELSE list_cosine_similarity(n.vec, l.vec) END"
 
 
@@ -155,7 +155,7 @@ _cos = "CASE WHEN n.vec IS NULL OR l.vec IS NULL THEN 0e0 ELSE list_cosine_simil
    FROM pv n JOIN pv l ON l.match_id = n.match_id AND n.f0 BETWEEN l.f1 + 1 AND l.f1 + 100)
   SELECT match_id, a, arg_max(b, (score, -b)) AS b, {r4('max(score)')} AS score FROM s WHERE score >= 0.3e0 GROUP BY match_id, a""")
 def _(t):
-    p = I.with_vectors(I.tracklets(t.tracks, split=1), t.vectors, 500)
+    p = I.with_vectors(I.tracklets(t.tracks, split=1), t.vectors)
     return rounded(I.lost_matches(p, accept=0.3), "score")
 
 
@@ -169,13 +169,13 @@ TSCORE = f"""{PIECES}, s AS (SELECT n.match_id, n.tid AS a, l.tid AS b, sqrt(pow
 
 @query("jn_tracklet_score", f"WITH {TSCORE} SELECT match_id, a, b, {r4('score')} AS score FROM ts WHERE score >= 0.2e0")
 def _(t):
-    p = I.with_vectors(I.tracklets(t.tracks, split=1), t.vectors, 500)
+    p = I.with_vectors(I.tracklets(t.tracks, split=1), t.vectors)
     return rounded(I.piece_scores(p, accept=0.2), "score")
 
 
 @query("jn_greedy_assign")
 def _(t):
-    p = I.with_vectors(I.tracklets(t.tracks, split=1), t.vectors, 500)
+    p = I.with_vectors(I.tracklets(t.tracks, split=1), t.vectors)
     return rounded(assign_greedy(I.piece_scores(p, accept=0.2)), "score")
 
 

@@ -51,7 +51,7 @@ def _(t):
     return M.rounded(M.speed_decline(M.sprints(t.tracks)), "late", "early")
 
 
-DELTA = "CASE WHEN speed >= 5.5e0 THEN -320 WHEN speed >= 3.5e0 THEN -40 WHEN speed >= 0.3e0 THEN -4 ELSE 100 END"
+DELTA = "CASE WHEN speed >= 5.5e0 THEN -320 WHEN speed >= 2.5e0 THEN -40 WHEN speed >= 0.3e0 THEN -4 ELSE 100 END"
 STAMINA = f"""WITH RECURSIVE {STEPS(24)}, d AS MATERIALIZED (SELECT match_id, player_id, frame_n, {DELTA} AS d, row_number() OVER ({PW}) AS rn FROM st),
   s AS (SELECT match_id, player_id, frame_n, rn, greatest(100000, least(1000000, 1000000 + d)) AS s FROM d WHERE rn = 1
    UNION ALL SELECT d.match_id, d.player_id, d.frame_n, d.rn, greatest(100000, least(1000000, s.s + d.d))
@@ -75,9 +75,9 @@ def greedy(pre, marks, keys, gap):
 
 
 @query("wn_rest", greedy(
-    f"{STEPS(24)}, g AS (SELECT *, sum(CASE WHEN speed >= 3.5e0 THEN 1 ELSE 0 END) OVER ({PW}) AS seg FROM st)",
+    f"{STEPS(24)}, g AS (SELECT *, sum(CASE WHEN speed >= 2.5e0 THEN 1 ELSE 0 END) OVER ({PW}) AS seg FROM st)",
     """SELECT DISTINCT match_id, player_id, seg, frame_n FROM (SELECT match_id, player_id, seg, frame_n FROM g WHERE speed < 0.3e0
-       UNION ALL SELECT match_id, player_id, seg, min(frame_n) FROM g WHERE speed < 3.5e0 GROUP BY ALL)""",
+       UNION ALL SELECT match_id, player_id, seg, min(frame_n) FROM g WHERE speed < 2.5e0 GROUP BY ALL)""",
     ["match_id", "player_id", "seg"], 26) + """,
   c AS (SELECT match_id, player_id, seg, count(*) - 1 AS n FROM k GROUP BY ALL)
   SELECT match_id, player_id, CAST(sum(n) AS BIGINT) AS rest_windows FROM c GROUP BY ALL""")

@@ -103,7 +103,8 @@ def as_arrays(d: DataFrame, key: str) -> DataFrame:
 def last_n(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Newest n rows per key; the rank limit prunes map-side before the shuffle."""
     w = W.partitionBy(key).orderBy(F.desc("frame_n"), F.desc("vec_id"))
-    return rows.withColumn("back", F.row_number().over(w) - 1).filter(F.col("back") < n)
+    ranked = rows.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= n)  # a plain rank, or Spark sets no limit
+    return ranked.withColumn("back", F.col("back") - 1)
 
 
 def mean_of_last(vectors: DataFrame, n: int = 10) -> DataFrame:
@@ -219,7 +220,9 @@ def tracklets(tracks: DataFrame, split: int = 5) -> DataFrame:
     )
 
 
-def with_vectors(pieces: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+def with_vectors(pieces: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pieces with a vector each, dealt over all vectors (ids from 0 without gaps)."""
+    n = vectors.agg(F.count(F.lit(1))).scalar()
     d = pieces.withColumn("vec_id", (F.col("player_id") * 7 + F.col("seg")) % n)
     hist = F.transform(F.slice("vec", 1, 8), lambda x: F.abs(x.cast("double")))
     v = vectors.select("vec_id", V.unit(F.col("vec")).alias("unit"), V.centred_unit(hist).alias("hist"))

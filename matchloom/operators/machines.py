@@ -42,7 +42,7 @@ def ball_frames(tracks: DataFrame, ball: DataFrame, touch: DataFrame, boxes: Dat
 
 
 # --- fixed values: shot machine ---
-SHOT_COOLDOWN, SHOT_EXPIRES, GOAL_CHECKS, SAVE_ZONE = 37, 75, 2, 320.0
+SHOT_COOLDOWN, SHOT_EXPIRES, GOAL_CHECKS, SAVE_ZONE = 37.5, 75, 2, 320.0
 
 
 def shots(frames: DataFrame, slow: float = 18.0, fast: float = 90.0) -> DataFrame:

@@ -132,11 +132,10 @@ def ball_speed(ball: DataFrame, back: int = 2) -> DataFrame:
     return halo(d, ["match_id"], "rn", back + 1, build)
 
 
-def ball_fill(ball: DataFrame, friction: float = 0.85, stop: float = 0.5, longest: int = 60) -> DataFrame:
+def ball_fill(ball: DataFrame, friction: float = 0.85, stop: float = 0.5) -> DataFrame:
     """Positions for frames without a ball: the last step slowed by ``friction`` per frame.
 
-    A step never exceeds the 300 px jump limit, so it falls below ``stop`` within 40 frames
-    and the ``longest`` bound on generated frames cannot cut anything off.
+    A step never exceeds the 300 px jump limit, so it falls below ``stop`` within 40 frames.
     """
     d = ball_steps(ball)
     d = d.withColumn("vx", F.when(F.col("step").isNotNull(), (F.col("bpx") - F.col("lx")) / (F.col("frame_n") - F.col("lf"))))
@@ -148,7 +147,7 @@ def ball_fill(ball: DataFrame, friction: float = 0.85, stop: float = 0.5, longes
     k = F.col("frame_n") - F.col("s.frame_n")
     geo = friction * (1.0 - F.pow(F.lit(friction), k)) / (1.0 - friction)
     speed = F.greatest(F.abs(F.col("s.vx")), F.abs(F.col("s.vy"))) * F.pow(F.lit(friction), k)
-    e = e.filter((k <= longest) & (speed >= stop))
+    e = e.filter(speed >= stop)
     return e.select(*FRAME, (F.col("s.bpx") + F.col("s.vx") * geo).alias("bpx"), (F.col("s.bpy") + F.col("s.vy") * geo).alias("bpy"))
 
 

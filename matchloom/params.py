@@ -37,7 +37,7 @@ ROLE_NORMS = {
 DEFAULT_NORM = ((4.8, 6.5), (12, 22), (6.8, 8.8))
 
 # --- motion -----------------------------------------------------------------
-SPRINT_MS, RUN_MS, WALK_MS = 5.5, 3.5, 0.3
+SPRINT_MS, RUN_MS, WALK_MS = 5.5, 2.5, 0.3
 SPRINT_MIN_S = 1.0
 MAX_STEP_S, MAX_SPEED_MS = 0.5, 30.0
 # --- possession and shots (pixels, pixels per frame, frames) ------------------

@@ -58,7 +58,7 @@ def test_stamina_blocks_equal_loop(spark):
     for _m, _p, f, xx, _y in data:
         v = 0 if prev is None else abs(xx - prev) / 100 * 25
         v = 0 if v > 30 else v
-        s = min(1_000_000, max(100_000, s + (-320 if v >= 5.5 else -40 if v >= 3.5 else -4 if v >= 0.3 else 100)))
+        s = min(1_000_000, max(100_000, s + (-320 if v >= 5.5 else -40 if v >= 2.5 else -4 if v >= 0.3 else 100)))
         prev = xx
         assert got[f] == s
 
@@ -147,3 +147,9 @@ def test_zero_denominators_and_nulls(spark):
         T.verdict(F.lit('{"outcome": "goal"} x')).alias("v"), T.verdict(F.lit("nothing")).alias("n")).first()
     assert (r.p, r.a, r.d, r.x) == (0.0, None, 5.0, None)
     assert (r.v.outcome, r.v.confidence, r.n.outcome) == ("GOAL", 0.0, "?")
+
+
+def test_running_costs_stamina_from_its_lower_bound_on(spark):
+    data = [(1, 5, f, 12 * f, 100) for f in range(300)]  # 12 cm a frame at 25 fps: 3 m/s
+    df = spark.createDataFrame(data, "match_id bigint, player_id bigint, frame_n bigint, x_cm bigint, y_cm bigint")
+    assert M.stamina(df).where("frame_n = 299").first().stamina == 988_040
