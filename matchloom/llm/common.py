@@ -19,6 +19,12 @@ def narrow(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for added columns that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := stem + "_" * k).lower() not in taken) for stem in stems]
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """One Arrow pass; `make` runs once per task and gives the step for each batch."""
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
-from matchloom.llm.common import cut_lineage, map_batches, narrow, raw_texts, star_components
+from matchloom.llm.common import cut_lineage, fresh, map_batches, narrow, raw_texts, star_components
 
 BITS, SEED = 64, 42
 
@@ -114,11 +114,11 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     groups = simhash_groups(docs, **how)
     by_id = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k"))
     keep = cut_lineage(by_id.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash")).distinct())
-    # clashing names cannot arise: the kept keys are compared with expressions and dropped by a semi join
-    left = docs.withColumn("_row_id", F.col("doc_id").cast("long")).withColumn("_row_hash", F.xxhash64("text"))
-    kept = left.join(keep, left["_row_id"].eqNullSafe(keep["_keep_id"]) & (left["_row_hash"] == keep["_keep_hash"]), "left_semi")
-    again = Window.partitionBy("_row_id", "_row_hash").orderBy(F.lit(0))
-    return kept.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row_id, row_hash, nth = fresh(docs, "_row_id", "_row_hash", "_nth")
+    left = docs.withColumn(row_id, F.col("doc_id").cast("long")).withColumn(row_hash, F.xxhash64("text"))
+    kept = left.join(keep, left[row_id].eqNullSafe(keep["_keep_id"]) & (left[row_hash] == keep["_keep_hash"]), "left_semi")
+    again = Window.partitionBy(row_id, row_hash).orderBy(row_hash)
+    return kept.withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 PRODUCTION: dict[str, int] = {"words": 3, "distance": 2, "blocks": 5, "crowd": 64}

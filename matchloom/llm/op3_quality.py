@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchloom.llm.common import cut_lineage, narrow
+from matchloom.llm.common import cut_lineage, fresh, narrow
 
 PRODUCTION = {"sample": 20_000}
 WINDOW = 8
@@ -77,8 +77,9 @@ def count_of(text: Column, others: str) -> Column:
     return F.length(F.regexp_replace(text, others, "")).cast("long")
 
 
-def with_statistics(rows: DataFrame) -> DataFrame:
-    """Adds the struct `_q` of all figures to rows with a `text`."""
+def with_statistics(rows: DataFrame, name: str = "_q") -> DataFrame:
+    """Adds the struct `name` of all figures to rows with a `text`."""
+    w_, s_ = fresh(rows, "_w", "_s")
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0)
@@ -91,16 +92,17 @@ def with_statistics(rows: DataFrame) -> DataFrame:
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
         ))
 
-    rows = rows.withColumn("_w", let(words, of_words))
-    rows = rows.withColumn("_s", F.struct(count_of(text, "[^#*$%&|<>]+").alias("n_symbols"), count_of(text, "[^A-Z]+").alias("n_upper"), let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("n_lines")))
-    n, chars = F.greatest(F.lit(1), F.col("_w.n_words")), F.greatest(F.lit(1), F.col("_w.word_chars"))
-    return rows.withColumn("_q", F.struct(
-        "_w.n_words", "_w.word_chars", "_s.n_symbols", "_s.n_dup_lines", "_w.n_repeat_words",
-        (F.col("_s.n_symbols") / chars).alias("symbol_rate"), (F.col("_s.n_upper") / chars).alias("upper_rate"), (F.col("_w.n_repeat_words") / n).alias("repeat_rate"),
-        (F.col("_s.n_dup_lines") / F.greatest(F.lit(1), F.col("_s.n_lines"))).alias("dup_line_rate"), (F.col("_w.n_distinct") / n).alias("distinct_rate"),
-        (F.col("_w.word_chars") / n).alias("word_length"), F.col("_w.n_words").cast("double").alias("words"),
-        ((F.col("_w.n_words") < 20) | (100 * F.col("_w.n_repeat_words") > 30 * F.col("_w.n_words"))).alias("base_failed"),
-    )).drop("_w", "_s")
+    rows = rows.withColumn(w_, let(words, of_words))
+    rows = rows.withColumn(s_, F.struct(count_of(text, "[^#*$%&|<>]+").alias("n_symbols"), count_of(text, "[^A-Z]+").alias("n_upper"), let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("n_lines")))
+    w, s = rows[w_], rows[s_]
+    n, chars = F.greatest(F.lit(1), w["n_words"]), F.greatest(F.lit(1), w["word_chars"])
+    return rows.withColumn(name, F.struct(
+        w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
+        (s["n_symbols"] / chars).alias("symbol_rate"), (s["n_upper"] / chars).alias("upper_rate"), (w["n_repeat_words"] / n).alias("repeat_rate"),
+        (s["n_dup_lines"] / F.greatest(F.lit(1), s["n_lines"])).alias("dup_line_rate"), (w["n_distinct"] / n).alias("distinct_rate"),
+        (w["word_chars"] / n).alias("word_length"), w["n_words"].cast("double").alias("words"),
+        ((w["n_words"] < 20) | (100 * w["n_repeat_words"] > 30 * w["n_words"])).alias("base_failed"),
+    )).drop(w_, s_)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -195,8 +197,11 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
-    """The rows of `docs`, with all their columns, that the base rule and the list keep."""
-    labelled = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("_known")).distinct()
-    known = narrow(docs, "doc_id", "text").join(labelled, F.col("doc_id") == F.col("_known"), "left_semi")
-    rules = learn(statistics(known), labels, sample)
-    return with_statistics(docs).where(~F.col("_q.base_failed") & (verdict(rules, "_q.") == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs`, with all their columns, that the base rule and the list keep.
+
+    The figures are worked out once and written beside the rows; the fit and the verdict both read them there.
+    """
+    (q,) = fresh(docs, "_q")
+    rows = cut_lineage(with_statistics(docs, q))
+    rules = learn(rows.select("doc_id", f"{q}.*"), labels, sample)
+    return rows.where(~F.col(f"{q}.base_failed") & (verdict(rules, f"{q}.") == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from matchloom.llm.bloom import Bloom, filter_from, gathered
-from matchloom.llm.common import cut_lineage, map_batches, narrow, str_texts
+from matchloom.llm.common import cut_lineage, fresh, map_batches, narrow, str_texts
 
 PRODUCTION = {"near": 6, "support": 3, "disclosure": 0.95, "bits": 1 << 23}
 KINDS = ["email", "ip", "card", "phone"]
@@ -211,7 +211,8 @@ def find(docs: DataFrame, **how) -> DataFrame:
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:
     """`docs` with base spans written as [KIND], disclosing terms as [TERM] and fully disclosing ones removed; other columns stay."""
-    s = spans(docs, **how).where("size(base) + size(terms) > 0").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_s_id"), F.col("text_hash").alias("_s_hash"), F.col("base").alias("_s_base"), F.col("terms").alias("_s_terms"))
+    base_, terms_ = fresh(docs, "_s_base", "_s_terms")
+    s = spans(docs, **how).where("size(base) + size(terms) > 0").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_s_id"), F.col("text_hash").alias("_s_hash"), F.col("base").alias(base_), F.col("terms").alias(terms_))
     joined = docs.join(s, docs["doc_id"].cast("long").eqNullSafe(s["_s_id"]) & (F.xxhash64(docs["text"]) == s["_s_hash"]), "left")
     names, at = docs.columns, docs.columns.index("text")
 
@@ -227,7 +228,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.select(*[docs[f"`{c}`"] for c in names], "_s_base", "_s_terms").mapInArrow(run, docs.schema)
+    return joined.select(*[docs[f"`{c}`"] for c in names], base_, terms_).mapInArrow(run, docs.schema)
 
 
 def joined_marks(marks: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

@@ -43,6 +43,7 @@ def test_keep_good_and_empty_tables(spark, docs, rows, no_docs):
     kept = op.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert kept.count() == op.judge(docs, labels).where("kept").count()
+    assert {r[0] for r in kept.select("_q").collect()} == {"clash"}  # a column of that name stays as it was
     assert op.judge(no_docs, labels).count() == 0
     assert op.judge(docs, labels.limit(0)).where("rule > 0").count() == 0
 
