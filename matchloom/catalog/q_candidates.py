@@ -115,12 +115,12 @@ def _(t):
     return rounded(C.kalman_track(d), "x", "y")
 
 
-@query("wn_ema_box", f"""WITH RECURSIVE m AS (SELECT match_id, frame_n, cx, w, row_number() OVER o AS rn, coalesce(frame_n - lag(frame_n) OVER o > 1, true) AS fresh FROM candidates WHERE cand = 3 WINDOW o AS (PARTITION BY match_id ORDER BY frame_n)),
-  e AS (SELECT match_id, frame_n, rn, cx * 1e0 AS x, w * 1e0 AS s FROM m WHERE rn = 1 UNION ALL SELECT m.match_id, m.frame_n, m.rn, CASE WHEN fresh THEN m.cx ELSE e.x * 0.65e0 + m.cx * 0.35e0 END, CASE WHEN fresh THEN m.w ELSE e.s * 0.65e0 + m.w * 0.35e0 END FROM e JOIN m ON m.match_id = e.match_id AND m.rn = e.rn + 1)
-  SELECT match_id, frame_n, {r4('x')} AS s_cx, {r4('s')} AS s_w FROM e""")
+@query("wn_ema_box", f"""WITH RECURSIVE m AS (SELECT match_id, cand, frame_n, cx, w, row_number() OVER o AS rn, coalesce(frame_n - lag(frame_n) OVER o > 1, true) AS fresh FROM candidates WINDOW o AS (PARTITION BY match_id, cand ORDER BY frame_n)),
+  e AS (SELECT match_id, cand, frame_n, rn, cx * 1e0 AS x, w * 1e0 AS s FROM m WHERE rn = 1 UNION ALL SELECT m.match_id, m.cand, m.frame_n, m.rn, CASE WHEN fresh THEN m.cx ELSE e.x * 0.65e0 + m.cx * 0.35e0 END, CASE WHEN fresh THEN m.w ELSE e.s * 0.65e0 + m.w * 0.35e0 END FROM e JOIN m ON m.match_id = e.match_id AND m.cand = e.cand AND m.rn = e.rn + 1)
+  SELECT match_id, cand, frame_n, {r4('x')} AS s_cx, {r4('s')} AS s_w FROM e""")
 def _(t):
-    d = t.candidates.filter("cand = 3").select("match_id", "frame_n", "cx", "w")
-    return rounded(C.smooth_boxes(d, ["match_id"], ["cx", "w"], max_gap=1), "s_cx", "s_w").select("match_id", "frame_n", "s_cx", "s_w")
+    d = t.candidates.select("match_id", "cand", "frame_n", "cx", "w")
+    return rounded(C.smooth_boxes(d, ["match_id", "cand"], ["cx", "w"], max_gap=1), "s_cx", "s_w").select("match_id", "cand", "frame_n", "s_cx", "s_w")
 
 
 def _windows(t):

@@ -67,7 +67,7 @@ def _(t):
 
 @query("vs_best_of_n", f"WITH {ALL}, b AS (SELECT query_id, arg_max(player_id, (sim, -vec_id)) AS player_id, max(sim) AS s FROM a WHERE player_id % 2 = own_id % 2 GROUP BY 1) SELECT query_id, player_id, {r4('s')} AS score FROM b WHERE s > 0.3e0")
 def _(t):
-    return rounded(I.best_of_team(t.vectors, 0.3), "score")
+    return rounded(I.best_of_team(t.vectors.withColumn("team", F.col("player_id") % 2), 0.3), "score")
 
 
 PROTO = f"""u AS (SELECT player_id, vec_id, conf_pct, frame_n, generate_subscripts(vec, 1) - 1 AS pos, unnest(CAST(vec AS DOUBLE[])) / (sqrt(list_sum([x*x FOR x IN CAST(vec AS DOUBLE[])])) + 1e-8) AS x, unnest(CAST(vec AS DOUBLE[])) AS raw FROM vectors),
@@ -128,8 +128,7 @@ def _(t):
 
 
 def _reads(t):
-    d = t.tracks.filter(F.col("frame_n") % 5 == 0)
-    return d.select("match_id", F.col("player_id").alias("track_id"), "frame_n", ((F.col("noise") + F.col("slot")) % 3).alias("best_id"), (F.col("conf_pct") / 100.0).alias("conf"))
+    return t.tracks.select("match_id", F.col("player_id").alias("track_id"), "frame_n", ((F.col("noise") + F.col("slot")) % 3).alias("best_id"), (F.col("conf_pct") / 100.0).alias("conf"))
 
 
 @query("wn_identity_lock")
@@ -145,7 +144,7 @@ def _(t):
 
 PIECES = """g0 AS (SELECT *, CASE WHEN frame_n - lag(frame_n) OVER w > 1 THEN 1 ELSE 0 END AS st FROM tracks WINDOW w AS (PARTITION BY match_id, player_id ORDER BY frame_n)),
   g1 AS (SELECT *, 1 + sum(st) OVER (PARTITION BY match_id, player_id ORDER BY frame_n) AS seg FROM g0),
-  pc AS (SELECT match_id, CAST(player_id * 1000 + seg AS BIGINT) AS tid, player_id, seg, any_value(team) AS team, any_value(h_px) AS h_px, min(frame_n) AS f0, arg_min(px, frame_n) AS x0, arg_min(py, frame_n) AS y0, max(frame_n) AS f1, arg_max(px, frame_n) AS x1, arg_max(py, frame_n) AS y1,
+  pc AS (SELECT match_id, CAST(player_id AS BIGINT) * 4294967296 + CAST(seg AS BIGINT) AS tid, player_id, seg, any_value(team) AS team, any_value(h_px) AS h_px, min(frame_n) AS f0, arg_min(px, frame_n) AS x0, arg_min(py, frame_n) AS y0, max(frame_n) AS f1, arg_max(px, frame_n) AS x1, arg_max(py, frame_n) AS y1,
    (arg_max(px, frame_n) - arg_min(px, frame_n)) * 1e0 / greatest(max(frame_n) - min(frame_n), 1) AS vx, (arg_max(py, frame_n) - arg_min(py, frame_n)) * 1e0 / greatest(max(frame_n) - min(frame_n), 1) AS vy FROM g1 GROUP BY match_id, player_id, seg),
   pv AS MATERIALIZED (SELECT pc.*, CAST(vec AS DOUBLE[]) AS vec FROM pc LEFT JOIN vectors ON vec_id = (pc.player_id * 7 + seg) % (SELECT count(*) FROM vectors))"""
 _cos = "CASE WHEN n.vec IS NULL OR l.vec IS NULL THEN 0e0 ELSE list_cosine_similarity(n.vec, l.vec) END"
@@ -188,7 +187,11 @@ def _(t):
     return chain_roots(e)
 
 
-@query("vs_hist")
+@query("vs_hist", f"""WITH RECURSIVE n AS MATERIALIZED (SELECT player_id, vec_id, row_number() OVER (PARTITION BY player_id ORDER BY frame_n, vec_id) AS rn, [abs(x) FOR x IN CAST(vec AS DOUBLE[])[1:8]] AS d FROM vectors),
+  e AS (SELECT player_id, rn, d AS v FROM n WHERE rn = 1 UNION ALL SELECT e.player_id, n.rn, [z[1] * 0.7e0 + z[2] * 0.3e0 FOR z IN list_zip(e.v, n.d)] FROM e JOIN n ON n.player_id = e.player_id AND n.rn = e.rn + 1),
+  f AS (SELECT player_id, arg_max(v, rn) AS g FROM e GROUP BY 1),
+  s AS (SELECT vec_id, f.player_id, list_cosine_similarity([x - list_avg(d) FOR x IN d], [x - list_avg(g) FOR x IN g]) AS score FROM n, f)
+  SELECT vec_id, arg_max(player_id, (score, -player_id)) AS player_id, {r4('max(score)')} AS score FROM s WHERE score >= 0.72e0 GROUP BY 1""")
 def _(t):
     return CO.histogram_match(t.vectors)
 

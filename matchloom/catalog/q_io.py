@@ -20,11 +20,11 @@ def folder(t):
     return f"{checkpoint_dir(t.spark)}/exports/{uuid.uuid4().hex}"
 
 
-@query("src_tracks", "SELECT match_id, frame_n, player_id, team, px, py FROM tracks WHERE match_id >= 1")
+@query("src_tracks", "SELECT match_id, frame_n, player_id, team, px, py FROM tracks")
 def _(t):
     p = folder(t)
     W.write_tracks(t.tracks.select("match_id", "frame_n", "player_id", "team", "px", "py"), p)
-    return R.read_tracks(t.spark, p).filter("match_id >= 1").select("match_id", "frame_n", "player_id", "team", "px", "py")
+    return R.read_tracks(t.spark, p).select("match_id", "frame_n", "player_id", "team", "px", "py")
 
 
 @query("src_detections_jsonl", f"SELECT match_id, frame_n, 32 AS class_id, cx * 1e0 AS x, cy * 1e0 AS y, {r4('conf_pct / 100e0')} AS conf FROM candidates")

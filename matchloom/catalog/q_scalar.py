@@ -157,15 +157,15 @@ def _(t):
     return C.with_period(t.match_events).select("event_id", "team", s.alias("dir"), Z.attacked_goal_x(s).alias("goal_x"), Z.own_goal_x(s).alias("own_x"))
 
 
-@query("iou", f"""SELECT match_id, frame_n, cand, player_id, {r4('i / (w1 + w2 - i)')} AS iou FROM (
+@query("iou", f"""SELECT match_id, frame_n, cand, {r4('max(i / (w1 + w2 - i))')} AS iou FROM (
   SELECT c.match_id, c.frame_n, cand, player_id, w * h * 16e0 AS w1, ({c} - {a}) * ({d} - {b}) AS w2,
   greatest(0e0, least(cx + w * 2e0, {c}) - greatest(cx - w * 2e0, {a})) * greatest(0e0, least(cy + h * 2e0, {d}) - greatest(cy - h * 2e0, {b})) AS i
-  FROM candidates c JOIN tracks t ON t.match_id = c.match_id AND t.frame_n = c.frame_n AND slot = 1)""")
+  FROM candidates c JOIN tracks t ON t.match_id = c.match_id AND t.frame_n = c.frame_n) GROUP BY ALL""")
 def _(t):
-    d = t.candidates.join(t.tracks.filter("slot = 1"), BK)
+    d = t.candidates.join(t.tracks, BK)
     cw, ch = F.col("w") * 2.0, F.col("h") * 2.0
     cand = [F.col("cx") - cw, F.col("cy") - ch, F.col("cx") + cw, F.col("cy") + ch]
-    return d.select(*BK, "cand", "player_id", c4(G.iou(cand, track_box())).alias("iou"))
+    return d.groupBy(*BK, "cand").agg(c4(F.max(G.iou(cand, track_box()))).alias("iou"))
 
 
 # ---- angles ---------------------------------------------------------------

@@ -8,7 +8,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from matchloom.functions.common import sq_dist
-from matchloom.operators.identity import correlation, last_n
+from matchloom.functions import vectors as V
+from matchloom.operators.identity import as_arrays, blend_weights
+from matchloom.plans.knn import top_k
 
 LABELS = ("team_a", "team_b", "goalkeeper")
 
@@ -48,21 +50,14 @@ def assign_team(colours: DataFrame, centres: dict[str, tuple]) -> DataFrame:
 
 
 def histogram_match(vectors: DataFrame, keep: float = 0.70, accept: float = 0.72, bins: int = 8) -> DataFrame:
-    """Best player by histogram correlation; a player's histogram is a blend over its samples.
+    """Best player of all by histogram correlation; a player's histogram is a blend over all its samples.
 
-    Only the newest samples matter beyond double precision, so the blend reads a bounded number.
+    Correlation is the cosine of centred arrays, so the exact block search finds the best player; ties go to the lower id.
     """
-    n = int(np.ceil(np.log(1e-17) / np.log(keep)))
     h = vectors.select("player_id", "vec_id", "frame_n", F.transform(F.slice("vec", 1, bins), lambda x: F.abs(x.cast("double"))).alias("hist"))
-    tot = h.groupBy("player_id").agg(F.count(F.lit(1)).alias("_t"))
-    d = last_n(h, "player_id", n).join(tot, "player_id")
-    w = F.pow(F.lit(keep), F.col("back")) * F.when(F.col("back") == F.col("_t") - 1, F.lit(1.0)).otherwise(F.lit(1.0 - keep))
-    d = d.withColumn("_w", w).select("player_id", "_w", F.posexplode("hist").alias("pos", "x"))
-    d = d.groupBy("player_id", "pos").agg(F.sum(F.col("_w") * F.col("x")).alias("v"))
-    g = d.groupBy("player_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("gallery"))
-    cand = g.select("player_id", F.col("gallery"))
-    # each sample names its candidate players (its own and the next id), so this is an equi-join
-    q = h.select("vec_id", "hist", F.explode(F.array(F.col("player_id"), (F.col("player_id") + 1) % 10)).alias("player_id"))
-    s = q.join(cand, "player_id").withColumn("score", correlation(F.col("hist"), F.col("gallery"))).filter(F.col("score") >= accept)
-    return s.groupBy("vec_id").agg(F.max(F.struct("score", (-F.col("player_id")).alias("neg"))).alias("m")).select(
-        "vec_id", (-F.col("m.neg")).alias("player_id"), (F.floor(F.col("m.score") * 1e4 + 0.5) / 1e4).alias("score"))
+    d = blend_weights(h, "player_id", keep).select("player_id", "_w", F.posexplode("hist").alias("pos", "x"))
+    d = d.groupBy("player_id", "pos").agg(F.sum(F.col("_w") * F.col("x")).alias("value"))
+    gallery = as_arrays(d, "player_id").select(F.col("player_id").alias("vec_id"), "player_id", V.centred_unit(F.col("vec")).alias("vec"))
+    queries = h.select(F.col("vec_id").alias("query_id"), V.centred_unit(F.col("hist")).alias("vec"))
+    s = top_k(queries, gallery, 1, skip_same_id=False).filter(F.col("sim") >= accept)
+    return s.select(F.col("query_id").alias("vec_id"), "player_id", (F.floor(F.col("sim") * 1e4 + 0.5) / 1e4).alias("score"))

@@ -66,14 +66,10 @@ def best_sample(queries: DataFrame, vectors: DataFrame, accept: float) -> DataFr
     return top_k(queries, vectors, 1).filter(F.col("sim") > accept).select("query_id", "player_id", F.col("sim").alias("score"))
 
 
-def best_of_team(vectors: DataFrame, accept: float = 0.68) -> DataFrame:
-    """Best vector within the query's own team: one search per team, so teams never mix."""
-    out = None
-    for t in (0, 1):
-        side = vectors.filter(F.col("player_id") % 2 == t)
-        d = best_sample(as_queries(side), side, accept)
-        out = d if out is None else out.unionByName(d)
-    return out
+def best_of_team(vectors: DataFrame, accept: float = 0.68, team: str = "team") -> DataFrame:
+    """Best vector within the query's own team, so teams never mix."""
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "vec", team)
+    return top_k(queries, vectors, 1, within=team).filter(F.col("sim") > accept).select("query_id", "player_id", F.col("sim").alias("score"))
 
 
 # ---- element-wise aggregates --------------------------------------------------
@@ -112,20 +108,20 @@ def mean_of_last(vectors: DataFrame, n: int = 10) -> DataFrame:
     return renormalise(weighted_vector(v, "player_id", F.lit(1.0)), "player_id")
 
 
-def vector_ema(vectors: DataFrame, keep: float = 0.75, min_conf: int = 65) -> DataFrame:
-    """Blend keep x old + (1 - keep) x new over confident samples.
+def blend_weights(rows: DataFrame, key: str, keep: float) -> DataFrame:
+    """Adds ``_w``, the weight of every row in the blend keep x old + (1 - keep) x new of its key.
 
-    Weights fall below double precision after ``n`` samples, so only the newest n are read; the
-    very first sample of a player carries the rest of the weight.
+    Rows are numbered in blocks, so a hot key spreads; the first row carries the rest of the weight.
     """
-    n = int(np.ceil(np.log(1e-17) / np.log(keep)))
-    good = vectors.filter(F.col("conf_pct") >= min_conf)
-    d = last_n(good, "player_id", n)
-    tot = good.groupBy("player_id").agg(F.count(F.lit(1)).alias("_t"))
-    d = d.join(tot, "player_id")
-    first = F.col("back") == F.col("_t") - 1
-    w = F.pow(F.lit(keep), F.col("back")) * F.when(first, F.lit(1.0)).otherwise(F.lit(1.0 - keep))
-    d = d.withColumn("_w", w).select("player_id", "_w", F.posexplode("vec").alias("pos", "x"))
+    d = number_rows(rows, [key], "frame_n", "_n", tie="vec_id").join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_t")), key)
+    w = F.pow(F.lit(keep), F.col("_t") - F.col("_n")) * F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.lit(1.0 - keep))
+    return d.withColumn("_w", w)
+
+
+def vector_ema(vectors: DataFrame, keep: float = 0.75, min_conf: int = 65) -> DataFrame:
+    """Blend keep x old + (1 - keep) x new over confident samples."""
+    d = blend_weights(vectors.filter(F.col("conf_pct") >= min_conf), "player_id", keep)
+    d = d.select("player_id", "_w", F.posexplode("vec").alias("pos", "x"))
     return d.groupBy("player_id", "pos").agg(F.sum(F.col("_w") * F.col("x").cast("double")).alias("value"))
 
 
@@ -135,18 +131,6 @@ def aspect_median(rows: DataFrame, n: int = 64) -> DataFrame:
     return d.groupBy("match_id", "player_id").agg(F.expr("percentile(aspect, 0.5D)").alias("aspect"))
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation of two equally long arrays, 0 when one is constant."""
-    def s(c):
-        return F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
-
-    n = F.size(a)
-    ma, mb = s(a) / n, s(b) / n
-    cov = s(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    va, vb = s(F.transform(a, lambda x: (x - ma) * (x - ma))), s(F.transform(b, lambda x: (x - mb) * (x - mb)))
-    return F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).otherwise(F.lit(0.0))
-
-
 # ---- galleries ----------------------------------------------------------------
 def diverse_gallery(vectors: DataFrame, size: int = 12, limit: float = 0.88) -> DataFrame:
     """Keep a vector only if it differs from the gallery; a full gallery replaces its most redundant one."""
@@ -198,8 +182,7 @@ def identity_lock(reads: DataFrame, lock: int = 150, cache: int = 120, margin: f
 def enrolments(tracks: DataFrame, stable: int = 45) -> DataFrame:
     """First frame on which a track is stable, numbered per team in that order."""
     d = number_rows(tracks.select("match_id", "player_id", "team", "slot", "frame_n"), ["match_id", "player_id"], "frame_n").filter(F.col("rn") == stable)
-    d = d.withColumn("at", F.col("frame_n") * 100 + F.col("slot"))
-    return number_rows(d.drop("rn"), ["match_id", "team"], "at", "number").select("match_id", "player_id", "team", "frame_n", "number")
+    return number_rows(d.drop("rn"), ["match_id", "team"], "frame_n", "number", tie="slot").select("match_id", "player_id", "team", "frame_n", "number")
 
 
 # ---- track pieces ---------------------------------------------------------------
@@ -213,7 +196,7 @@ def tracklets(tracks: DataFrame, split: int = 5) -> DataFrame:
     )
     span = F.greatest(F.col("z.frame_n") - F.col("a.frame_n"), F.lit(1))
     return g.select(
-        "match_id", (F.col("player_id") * 1000 + F.col("seg")).alias("tid"), "player_id", "seg", "team", "h_px", "n",
+        "match_id", (F.shiftleft(F.col("player_id").cast("bigint"), 32) + F.col("seg")).alias("tid"), "player_id", "seg", "team", "h_px", "n",
         F.col("a.frame_n").alias("f0"), F.col("a.px").alias("x0"), F.col("a.py").alias("y0"),
         F.col("z.frame_n").alias("f1"), F.col("z.px").alias("x1"), F.col("z.py").alias("y1"),
         ((F.col("z.px") - F.col("a.px")) / span).alias("vx"), ((F.col("z.py") - F.col("a.py")) / span).alias("vy"),

@@ -6,6 +6,8 @@ scan, so neither a long match nor a hot player lands in one task.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -285,9 +287,9 @@ def mean_velocity(tracks: DataFrame, rows: int = 5) -> DataFrame:
 
 def weighted_velocity(tracks: DataFrame, history: int = 12, keep: float = 0.60) -> DataFrame:
     """Weighted least-squares velocity over the last ``history`` points (weights e^-2 .. 1),
-    smoothed exponentially.  The smoothing forgets below double precision after 75 rows, so a
+    smoothed exponentially.  The smoothing forgets below double precision after ``back`` rows, so a
     bounded look-back gives the same numbers as the endless recursion."""
-    back = 75
+    back = int(math.ceil(math.log(1e-17) / math.log(keep)))
     d = number_rows(tracks.select(*KEYS, "frame_n", "px", "py"), KEYS, "frame_n")
 
     def build(x, keys):
