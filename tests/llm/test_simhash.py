@@ -5,6 +5,7 @@ import xxhash
 from llm.conftest import as_rows
 
 from matchloom.llm import op1_simhash as op
+from matchloom.llm.common import all_stars, star_components
 from matchloom.session import cut_lineage
 
 
@@ -63,3 +64,24 @@ def test_keep_one_keeps_one_row_of_each_group(docs, no_docs):
     assert kept.count() == len({r.component_id for r in groups.collect()})
     assert op.keep_one(no_docs).count() == 0
     assert op.simhash_groups(no_docs).count() == 0
+
+
+def test_components_of_paths_stars_and_rings(spark):
+    rng = random.Random(8)
+    path = [(i, i + 1) for i in range(100, 140)]
+    order = list(range(200, 260))
+    rng.shuffle(order)
+    ring = list(zip(order, order[1:] + order[:1], strict=True))
+    shapes = [path, ring, [(300, 300 + k) for k in range(1, 30)], [(k, 431) for k in range(401, 431)], [(1, 2), (2, 1), (3, 3)], [(-5, 7), (7, -9)]]
+    want = {}
+    for shape in shapes:
+        nodes = {x for a, b in shape if a != b for x in (a, b)}
+        want |= dict.fromkeys(nodes, min(nodes, default=0))
+    edges = [(a, b) for s in shapes for a, b in s]
+    rng.shuffle(edges)
+    got = star_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+    assert star_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert all_stars(spark.createDataFrame([(5, 1), (4, 1), (9, 8)], "a long, b long"))
+    assert not all_stars(spark.createDataFrame([(5, 1), (5, 2)], "a long, b long"))
+    assert not all_stars(spark.createDataFrame([(5, 3), (3, 2)], "a long, b long"))
