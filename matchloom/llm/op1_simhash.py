@@ -111,7 +111,11 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     The row with the component's id stays (of rows that share this id the one with the least text hash, of equal rows
     any one). Only ids and hashes are grouped; texts move once, to meet the kept ids.
     """
-    groups = simhash_groups(docs, **how)
+    return keep_rows(docs, simhash_groups(docs, **how))
+
+
+def keep_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay, given doc_id, text_hash and component_id of each."""
     by_id = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k"))
     keep = cut_lineage(by_id.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash")).distinct())
     row_id, row_hash, nth = fresh(docs, "_row_id", "_row_hash", "_nth")
