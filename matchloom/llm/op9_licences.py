@@ -1,7 +1,7 @@
 """Licence scan by sentence rules.
 
 A text's sentences are normalised (case, spaces, quotes, comment marks, copyright holders) and mapped to identifiers of
-known licence sentences; the sequence of identifiers is then read by ordered licence rules, longest evidence first. A
+known licence sentences; lines of a sentence are joined first. The sequence of identifiers is then read by ordered licence rules, longest evidence first. A
 rule is a sequence that must occur in order; a sentence used by one rule is not used again by a later one.
 
 Defined results: null and empty texts hold no licence; repeated rows each get their row; several licences are listed in
@@ -54,20 +54,42 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("AGPL", ("agpl_notice",)), ("LGPL", ("lgpl_notice",)), ("BSD", ("bsd_redistribute",)), ("BSD", ("bsd_notice",)), ("MPL-{v}.0", ("mpl_notice",)),
     ("ISC", ("isc_grant",)), ("CC-{v}", ("cc_notice",)), ("Unlicense", ("unlicense",)), ("Public-Domain", ("public_domain",)),
 ]
-HINT = re.compile(r"licen[cs]e|creative commons|public domain|redistribut|permission|provided \W?as is|unencumbered|neither the name|\bcc[ -]", re.I)
+HINT = re.compile(r"licen[cs]e|creative commons|public domain|redistribut|permission|provided as is|unencumbered|neither the name|\bcc[ -]")
+#: The same on a raw text without its quotes, where line breaks and comment marks may stand between words.
+TEXT_HINT = re.compile(HINT.pattern.replace(" ", r"\W+").replace(r"[\W+-]", r"\W"), re.I)
 UNKNOWN = re.compile(r"\b(licensed|released|distributed) under\b|\blicen[cs]e\b.{0,20}\bversion\b")
-SENTENCE_END = re.compile(r"(?<=[.;:!?])\s+(?=[A-Z\"'(*#/])|\n\s*\n|\n(?=[A-Z])")
+SENTENCE_END = re.compile(r"(?<=[.;:!?])\s+(?=[A-Z\"'(*#/])|\n\s*\n")
+LINE_START = re.compile(r"\n(?=[A-Z])")
+COMMENT = re.compile(r"(?m)^\s*(//|/\*+|\*+/?|#+|--|;+|<!--)")
+QUOTES = "\"“”‘’`´'"
+QUOTE = re.compile(f"[{QUOTES}]")
 KNOWN = [(k, re.compile(p)) for k, p in SENTENCES]
 
 
 def normalised(sentence: str) -> str:
-    s = re.sub(r"(?m)^\s*(//|/\*+|\*+/?|#+|--|;+|<!--)", " ", sentence).lower()
-    s = re.sub(r"[\"“”‘’`´']", "", s)
+    s = QUOTE.sub("", COMMENT.sub(" ", sentence).lower())
     return re.sub(r"\s+", " ", s).strip()
 
 
+def places(sentence: str) -> list[int]:
+    """For each character of the normalised sentence, the place it comes from."""
+    marks = {k for m in COMMENT.finditer(sentence) for k in range(*m.span())}
+    out, blank = [], True
+    for k, c in enumerate(sentence):
+        if k not in marks and c in QUOTES:
+            continue
+        if k in marks or c.isspace():
+            if not blank:
+                out.append(k)
+            blank = True
+        else:
+            out += [k] * len(c.lower())
+            blank = False
+    return out[:-1] if blank and out else out
+
+
 def sentences(text: str):
-    """(start, end, sentence) in code points."""
+    """(start, end, sentence) in code points; a line break ends a sentence at a blank line only."""
     at = 0
     for m in SENTENCE_END.finditer(text):
         yield at, m.start(), text[at : m.start()]
@@ -76,18 +98,33 @@ def sentences(text: str):
 
 
 def recognised(text: str) -> list[tuple[str, str, int, int]]:
-    """(sentence id, version, start, end) of the known licence sentences of a text, in order."""
+    """(sentence id, version, start, end) of the known licence sentences of a text, in order.
+
+    A span goes from the start of the line that the words start in, if a capital begins it, to the end of the sentence or
+    the last line break before a capital.
+    """
     out = []
-    if not HINT.search(text):
+    if not TEXT_HINT.search(QUOTE.sub("", text)):
         return out
     for s, e, raw in sentences(text):
-        if not HINT.search(raw):
-            continue
         n = normalised(raw)
-        ids = sorted((m.start(), k, (m.groupdict().get("v") or "")) for k, p in KNOWN for m in p.finditer(n))
-        out += [(k, v, s, e) for _, k, v in ids]
-        if not ids and UNKNOWN.search(n):
-            out.append(("unknown", "", s, e))
+        if not HINT.search(n):
+            continue
+        ids = sorted((m.start(), m.end(), k, (m.groupdict().get("v") or "")) for k, p in KNOWN for m in p.finditer(n))
+        unknown = [m.span() for m in UNKNOWN.finditer(n)]
+        if not ids and not unknown:
+            continue
+        of, cuts = places(raw), [m.start() for m in LINE_START.finditer(raw)]
+
+        def span(a: int, b: int, s=s, e=e, of=of, cuts=cuts) -> tuple[int, int]:
+            return s + max((c + 1 for c in cuts if c < of[a]), default=0), min((s + c for c in cuts if c > of[b - 1]), default=e)
+
+        found = [(a, k, v, *span(a, b)) for a, b, k, v in ids]
+        for a, b in unknown:
+            x, y = span(a, b)
+            if not any(p < y and x < q for *_, p, q in found):
+                found.append((a, "unknown", "", x, y))
+        out += [f[1:] for f in sorted(found)]
     return out
 
 

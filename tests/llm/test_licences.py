@@ -35,3 +35,23 @@ def test_rows(docs, rows, no_docs):
     want = [(i, ",".join(dict.fromkeys(n for n, _, _ in op.licences(t or "")))) for i, t in rows]
     assert as_rows(op.scan(docs), "doc_id", "licences") == sorted(want, key=repr)
     assert op.scan(no_docs).count() == 0
+
+
+def test_wrapped_lines_are_joined_before_sentences_are_read():
+    cases = {
+        "Some prose.\nThis file is released under the\nMIT License.\nMore prose.": ("MIT", "This file is released under the\nMIT License."),
+        "// Licensed under the\n// Apache License, Version 2.0.": ("Apache-2.0", "// Licensed under the\n// Apache License, Version 2.0."),
+        "licensed under the\nApache License, Version 2.0": ("Apache-2.0", "licensed under the\nApache License, Version 2.0"),
+        "The text is dedicated to the public\ndomain.": ("Public-Domain", "The text is dedicated to the public\ndomain."),
+        "A Title\nReleased under the\nMIT License\nOther Title": ("MIT", "Released under the\nMIT License"),
+        "İ’ A Title\nReleased under the Example\nLicence": ("UNKNOWN", "Released under the Example\nLicence"),
+    }
+    got = {t: [(n, t[s:e]) for n, s, e in op.licences(t)] for t in cases}
+    assert {k: v for k, v in got.items() if not k.startswith("İ")} == {t: [w] for t, w in cases.items() if not t.startswith("İ")}
+    assert [n for n, _ in got["İ’ A Title\nReleased under the Example\nLicence"]] == ["UNKNOWN"]
+    assert [k for k, *_ in op.recognised('the software is provided\n# "as\n# is", without warranty of any kind')] == ["as_is"]
+
+
+def test_places_follow_the_normalised_sentence():
+    for t in ["", "  a  b ", "// x 'y'\n * Z\n#  İq", '"', " * ", "a\n--\n;; b", *CASES]:
+        assert len(op.places(t)) == len(op.normalised(t)), t
