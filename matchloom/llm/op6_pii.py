@@ -1,17 +1,18 @@
 """Personal data: base patterns, and terms that give protected entities away.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. The information-theoretic part looks at the terms
-around them: an entity e (an address or number) and a term t that stands within `near` words of it in at least `support`
-different surroundings are counted over all documents, and t gives e away as far as seeing t predicts e. With document
-shares p: IC(e) = -log2 p(e), PMI(e; t) = log2 p(e, t) / (p(e) p(t)), which is IC(e) when t always comes with e. A term
-with PMI >= `disclosure` * IC exceeds the threshold wherever it stands: `sanitise` removes it if it gives e away fully and
-writes a general mark otherwise.
-
-Passes: find spans and surroundings; count the documents of candidate terms; find the disclosing terms. Only fixed-size
+Base spans are e-mail addresses, IP addresses, card and phone numbers. The information-theoretic part judges every term of
+three or more letters by the documents it shares with a protected entity e (an address or number), wherever in them it
+stands. With document shares p: IC(e) = -log2 p(e), PMI(e; t) = log2 p(e, t) / (p(e) p(t)), which is IC(e) when t always
+comes with e. A term with PMI >= `disclosure` * IC exceeds the threshold wherever it stands, if so many common documents
+are no chance: their probability for independent e and t (Chernoff's bound), times the number of pairs judged, is at most
+`significance`. One common document is enough only where few pairs are judged. `sanitise` removes a term if it gives e away fully
+and writes a general mark otherwise.
+
+Passes: find spans and the terms of their documents; count the documents of candidate terms; find the disclosing terms. Only fixed-size
 filters of terms are sent to every task; the exact joins shuffle both sides.
 
-Defined results: null and empty texts hold nothing; repeated rows each get their row and count as documents; surroundings
-repeated word for word (copies) count once towards `support`.
+Defined results: null and empty texts hold nothing; repeated rows each get their row; texts repeated word for word (copies) count as
+one document.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from matchloom.llm.bloom import Bloom, filter_from, gathered
 from matchloom.llm.common import cut_lineage, fresh, map_batches, narrow, str_texts
 
-PRODUCTION = {"near": 6, "support": 3, "disclosure": 0.95, "bits": 1 << 23}
+PRODUCTION = {"disclosure": 0.95, "significance": 0.05, "bits": 1 << 23}
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -91,28 +92,39 @@ def term_of(word: str) -> int:
     return xxh64_intdigest(word.lower().encode())
 
 
-def surroundings(docs: DataFrame, near: int) -> DataFrame:
-    """(row, entity, term, place) of every row with base spans; row tells rows of one batch apart, place is the surrounding's hash."""
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def company(docs: DataFrame) -> DataFrame:
+    """(doc, entity, terms) of every row with base spans: each entity with the terms of its text; copies have one doc."""
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            doc, ent, term, place = [], [], [], []
+            doc, ent, terms = [], [], []
             for key, t in zip(b.column(0).to_pylist(), str_texts(b), strict=True):
-                for kind, s, e in base_spans(t):
-                    left = WORD.findall(t, max(0, s - 40 * near), s)[-near:]
-                    right = WORD.findall(t, e, e + 40 * near)[:near]
-                    around = xxh64_intdigest(" ".join([*left, "|", *right]).lower().encode())
-                    for w in {term_of(x) for x in left + right if len(x) > 2}:
-                        doc.append(key)
-                        ent.append(entity_of(kind, t[s:e]))
-                        term.append(w)
-                        place.append(around)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(signed(x)) for x in (ent, term, place)]], ["doc", "entity", "term", "place"])
+                own = base_spans(t)
+                if own:
+                    doc.append(key)
+                    ent.append(signed({entity_of(k, t[s:e]) for k, s, e in own}))
+                    terms.append(signed({term_of(x) for x in terms_outside(t, own)}))
+            kind = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ent, kind), pa.array(terms, kind)], ["doc", "entities", "terms"])
 
         return step
 
-    rows = narrow(docs, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("doc"), "text")
-    return map_batches(rows, make, "doc long, entity long, term long, place long")
+    rows = narrow(docs, "text").select(text_key().alias("doc"), "text")
+    return map_batches(rows, make, "doc long, entities array<long>, terms array<long>").dropDuplicates(["doc"])
+
+
+def terms_outside(text: str, own: list[tuple[str, int, int]]) -> set[str]:
+    """Words of three or more letters that are no part of a base span."""
+    out, at = set(), 0
+    for _, s, e in sorted(own, key=lambda x: x[1]):
+        out.update(WORD.findall(text, at, max(at, s)))
+        at = max(at, e)
+    out.update(WORD.findall(text, at))
+    return {w for w in out if len(w) > 2}
 
 
 class TermFilter:
@@ -135,7 +147,10 @@ class TermFilter:
 
 
 def counts_of(docs: DataFrame, terms: DataFrame, bits: int) -> DataFrame:
-    """(term, docs): documents that hold each of the terms, over all rows; partial counts per batch."""
+    """(term, docs): different texts that hold each of the terms, over all rows; partial counts per batch."""
+    rows = narrow(docs, "text").withColumn("doc", text_key())
+    copies = rows.groupBy("doc").agg(F.count("*").alias("copies")).where("copies > 1")
+    rows = rows.join(copies, "doc", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
     wanted = docs.sparkSession.sparkContext.broadcast(gathered(terms, bits))
 
     def make():
@@ -144,31 +159,44 @@ def counts_of(docs: DataFrame, terms: DataFrame, bits: int) -> DataFrame:
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             c: Counter = Counter()
             if not f.empty:
-                for t in str_texts(b):
-                    c.update(set(f.hits(set(WORD.findall(t))).values()))
-            return pa.RecordBatch.from_arrays([pa.array(signed(c.keys(), len(c))), pa.array(list(c.values()), pa.int64())], ["term", "docs"])
+                for t, share in zip(str_texts(b), b.column(1).to_pylist(), strict=True):
+                    for k in set(f.hits(set(WORD.findall(t))).values()):
+                        c[k] += share
+            return pa.RecordBatch.from_arrays([pa.array(signed(c.keys(), len(c))), pa.array(list(c.values()), pa.float64())], ["term", "docs"])
 
         return step
 
-    return map_batches(docs.select("text"), make, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    return map_batches(rows, make, "term long, docs double").groupBy("term").agg(F.round(F.sum("docs")).cast("long").alias("docs"))
+
+
+def surprise(both: str, of: str, share: str, n: int) -> Column:
+    """Least -ln of the probability that `of` documents hold `both` or more of what `share` of n documents hold."""
+    q, r = F.col(both) / F.col(of), F.least(F.col(share) / F.lit(float(n)), F.lit(1 - 1e-12))
+    rest = F.when(q < 1, (1 - q) * F.ln((1 - q) / (1 - r))).otherwise(0.0)
+    return F.when(q > r, F.col(of) * (q * F.ln(q / r) + rest)).otherwise(0.0)
 
 
-def disclosing(docs: DataFrame, near: int = 6, support: int = 3, disclosure: float = 0.95, bits: int = 1 << 23) -> DataFrame:
+def disclosing(docs: DataFrame, disclosure: float = 0.95, significance: float = 0.05, bits: int = 1 << 23) -> DataFrame:
     """(term, full): terms over the threshold for some entity; full where the term never comes without it."""
-    seen = cut_lineage(surroundings(docs, near))
-    pairs = cut_lineage(seen.groupBy("entity", "term").agg(F.countDistinct("place").alias("places"), F.countDistinct("doc").alias("together")).where(F.col("places") >= support))
-    entities = seen.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    seen = cut_lineage(company(docs))
+    one = seen.select("doc", F.explode("entities").alias("entity"), "terms")
+    pairs = cut_lineage(one.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together")))
+    entities = one.groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    n, judged = max(1, docs.select(text_key().alias("doc")).distinct().count()), pairs.count()
+    if judged >= significance * n:  # one common document has a probability of 1 / n at least
+        pairs = pairs.where("together > 1")
     terms = counts_of(docs, pairs.select("term").distinct(), bits)
-    n = docs.count()
     both = pairs.join(entities, "entity").join(terms, "term")
-    ic = -F.log2(F.col("entity_docs") / F.lit(float(max(1, n))))
-    pmi = F.log2(F.col("together") * F.lit(float(max(1, n))) / (F.col("entity_docs") * F.col("docs")))
-    return cut_lineage(both.where((ic > 0) & (pmi >= disclosure * ic)).groupBy("term").agg(F.max(F.col("together") >= F.col("docs")).alias("full")))
+    ic = -F.log2(F.col("entity_docs") / F.lit(float(n)))
+    pmi = F.log2(F.col("together") * F.lit(float(n)) / (F.col("entity_docs") * F.col("docs")))
+    sure = F.greatest(surprise("together", "entity_docs", "docs", n), surprise("together", "docs", "entity_docs", n))
+    both = both.where((ic > 0) & (pmi >= disclosure * ic) & (sure >= float(np.log(max(1, judged) / significance))))
+    return cut_lineage(both.groupBy("term").agg(F.max(F.col("together") >= F.col("docs")).alias("full")))
 
 
-def spans(docs: DataFrame, near: int = 6, support: int = 3, disclosure: float = 0.95, bits: int = 1 << 23) -> DataFrame:
+def spans(docs: DataFrame, disclosure: float = 0.95, significance: float = 0.05, bits: int = 1 << 23) -> DataFrame:
     """doc_id, text_hash, base and all: span strings `kind:start:end` of every row, terms after the base kinds."""
-    terms = disclosing(docs, near, support, disclosure, bits)
+    terms = disclosing(docs, disclosure, significance, bits)
     wanted = docs.sparkSession.sparkContext.broadcast(gathered(terms.select("term"), bits))
 
     def make():

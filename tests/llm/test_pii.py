@@ -63,3 +63,15 @@ def test_disclosing_terms_are_found_and_common_ones_left(spark):
     clean = {r.doc_id: r.text for r in op.sanitise(docs, disclosure=0.9).collect()}
     assert "[EMAIL]" in clean[0] and "Quibble" not in clean[0] and "QUIBBLE" not in clean[300] and clean[301] is None and clean[302] == ""
     assert clean[400] == "same words around [EMAIL] every time"
+
+
+def test_terms_far_from_an_entity_are_judged_by_the_documents_they_share(spark):
+    rng = random.Random(6)
+    fill = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows = [(k, f"Quibble {fill(80)} ann.lee@corp.example {fill(9)}") for k in range(3)]
+    rows += [(10, f"Hapax {fill(30)} bob@x.example {fill(9)}")]
+    rows += [(100 + k, fill(25)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.all_spans for r in op.find(docs).collect()}
+    assert all("term:0:7" in got[k] for k in range(3))  # 80 words away
+    assert sum("term:" in x for x in got.values()) == 3  # one common document is no evidence
