@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from matchloom.llm.common import cut_lineage, map_batches, narrow
 
@@ -298,12 +298,17 @@ def removed_ranges(starts: list[tuple[int, int]], length: int) -> list[list[int]
     return out
 
 
+def two_hashes(name: str) -> list[Column]:
+    """h1 and h2 of a text. Columns are hashed in turn, each seeded by the one before, so the literal comes first."""
+    return [F.xxhash64(name).alias("h1"), F.xxhash64(F.lit("second"), name).alias("h2")]
+
+
 def repeats(docs: DataFrame, length: int = 400, crowd: int = 2000, block_bytes: int = 1 << 20, kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with `kept`, the remaining bytes too."""
     if length < MODULUS * 8 + 2 * MODULUS:
         raise ValueError("the ranks used reach 248 bytes and more")
     rows = narrow(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit("second")).alias("h2"))
+    rows = rows.select("doc_id", "text", *two_hashes("text"))
     copies = cut_lineage(rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")))
 
     def keys_of():

@@ -80,3 +80,11 @@ def test_runs_cover_every_start_once():
     got = sorted((int(t), p) for t, a, b in zip(text, first, stop, strict=True) for p in range(a, b))
     assert got == [(k, int(ends[k]) + i) for k, t in enumerate(ts) for i in range(len(t) - 399)]
     assert all(a <= m and m + op.GRAM <= b - 1 + 400 for a, b, m in zip(first, stop, anchor, strict=True))
+
+
+def test_the_second_hash_does_not_follow_from_the_first(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t,) for t in ("", "a", "some words")], "text string")
+    rows = df.select(*op.two_hashes("text"), F.xxhash64("text", F.lit("second")).alias("chained")).collect()
+    assert all(r.h2 not in (r.h1, r.chained) for r in rows)
