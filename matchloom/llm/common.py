@@ -56,6 +56,17 @@ def held_out(c: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+#: A key with more than one in HOT of all rows is hot: there are fewer than HOT of them, so what is kept of each may be broadcast.
+HOT = 1000
+
+
+def skewed_join(rows: DataFrame, names: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of `rows` with `names`, one row of each key; the keys in `hot` (a proven few) are broadcast, so no task gets all their rows."""
+    hot = F.broadcast(hot.select(*on))
+    few = rows.join(F.broadcast(names.join(hot, on, "left_semi")), on)
+    return few.unionByName(rows.join(hot, on, "left_anti").join(names, on))
+
+
 def all_stars(edges: DataFrame) -> bool:
     """Whether every node of the distinct links (a, b), a > b, either hangs on one node by one link or on none."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))

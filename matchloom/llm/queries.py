@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from matchloom.llm import op1_simhash, op2_toxicity, op3_quality, op4_decontaminate, op5_bpe, op6_pii, op7_suffix, op8_lm, op9_licences, op10_secrets, op12_runs
+from matchloom.llm import op1_simhash, op2_toxicity, op3_quality, op4_decontaminate, op5_bpe, op6_pii, op7_suffix, op8_lm, op9_licences, op10_secrets, op12_runs, op13_minhash
 from matchloom.llm.common import table
 
 
@@ -57,10 +57,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_runs.digests(op12_runs.runs(table(spark, sf_dir, "documents"), **op12_runs.PRODUCTION, words_of=op12_runs.periodic_tail))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_minhash.groups(table(spark, sf_dir, "documents"), **op13_minhash.PRODUCTION)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
     return {**own, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_minhash_near_dedup": op13_minhash.SQL}
