@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from matchloom.llm import op1_simhash, op2_toxicity, op3_quality, op4_decontaminate, op5_bpe, op6_pii, op7_suffix, op8_lm, op9_licences, op10_secrets, op12_runs, op13_minhash
+from matchloom.llm import op1_simhash, op2_toxicity, op3_quality, op4_decontaminate, op5_bpe, op6_pii, op7_suffix, op8_lm, op9_licences, op10_secrets, op11_phrases, op12_runs, op13_minhash
 from matchloom.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets.scan(table(spark, sf_dir, "documents"), **op10_secrets.PRODUCTION)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_phrases.phrases(table(spark, sf_dir, "documents"), **op11_phrases.PRODUCTION)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_runs.digests(op12_runs.runs(table(spark, sf_dir, "documents"), **op12_runs.PRODUCTION, words_of=op12_runs.periodic_tail))
 
@@ -67,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_minhash_near_dedup": op13_minhash.SQL}
+    return {"op11_phrase_collocations": op11_phrases.SQL, "op13_minhash_near_dedup": op13_minhash.SQL}
