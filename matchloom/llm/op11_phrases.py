@@ -36,7 +36,7 @@ MARKS = bytes.maketrans(BREAKS + b"\t", b"\n" * len(BREAKS) + b" ")
 #: Seed of Spark's xxhash64; its hash of several columns takes each as the seed of the next.
 SEED = 42
 #: Words counted at once by a task, rows of one Arrow batch, largest filter (16 MB).
-CHUNK, ROWS, MAX_BITS = 1 << 22, 1 << 17, 1 << 27
+CHUNK, ROWS, MAX_BITS = 1 << 20, 1 << 16, 1 << 27
 
 
 def tokens(text: bytes) -> list[bytes]:
