@@ -45,3 +45,21 @@ def filter_from(raw: bytes) -> Bloom:
     f = Bloom(8)
     f.bits, f.table = len(raw) * 8, np.frombuffer(raw, np.uint8)
     return f
+
+
+def sized(n: int, most: int = 1 << 27) -> int:
+    """Bits of a filter for n keys: 16 a key, a power of two, at most `most`."""
+    return min(most, max(1 << 16, 1 << (16 * n).bit_length()))
+
+
+def passing(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose `on` may be among the keys, before any shuffle; an exact join settles it. The filter has at most 16 MB."""
+    bits = sized(keys.count())
+    cast = rows.sparkSession.sparkContext.broadcast(gathered(keys.select(F.xxhash64(on).alias("key")), bits))
+
+    def run(batches):
+        known = filter_from(cast.value)
+        for b in batches:
+            yield b.select(range(1, b.num_columns)).filter(pa.array(known.has(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return rows.select(F.xxhash64(on).alias("_key"), *rows.columns).mapInArrow(run, rows.schema)

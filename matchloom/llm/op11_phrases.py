@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
-from matchloom.llm.bloom import filter_from, gathered
+from matchloom.llm.bloom import filter_from, gathered, sized
 from matchloom.llm.common import cut_lineage, narrow, raw_texts
 
 PRODUCTION = {"least": 10, "longest": 3, "top": 2000, "share": 50, "unknown": "und"}
@@ -35,8 +35,8 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 MARKS = bytes.maketrans(BREAKS + b"\t", b"\n" * len(BREAKS) + b" ")
 #: Seed of Spark's xxhash64; its hash of several columns takes each as the seed of the next.
 SEED = 42
-#: Words counted at once by a task, rows of one Arrow batch, largest filter (16 MB).
-CHUNK, ROWS, MAX_BITS = 1 << 20, 1 << 16, 1 << 27
+#: Words counted at once by a task, rows of one Arrow batch.
+CHUNK, ROWS = 1 << 20, 1 << 16
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -119,9 +119,8 @@ def words(n: int, first: int = 1) -> list[str]:
 
 
 def filter_of(stream: DataFrame, n: int, bits: int | None) -> bytes:
-    """Filter over the phrases of a stream, 16 bits a phrase up to MAX_BITS."""
-    bits = bits or min(MAX_BITS, max(1 << 16, 1 << (16 * stream.count()).bit_length()))
-    return gathered(stream.select(F.xxhash64("lang", *words(n)).alias("key")), bits)
+    """Filter over the phrases of a stream, of 16 MB at most."""
+    return gathered(stream.select(F.xxhash64("lang", *words(n)).alias("key")), bits or sized(stream.count()))
 
 
 def with_contexts(stream: DataFrame, shorter: DataFrame, n: int) -> DataFrame:
