@@ -22,12 +22,35 @@ def frames(t):
     return cut_lineage(X.ball_frames(t.tracks, t.ball, touch(t), t.goal_boxes))
 
 
-@query("wn_shot")
-def _(t):
-    return rounded(X.shots(frames(t)).select("match_id", "frame_n", "team", "speed"), "speed")
-
-
-@query("wn_shot_resolve")
+SPEED2 = f"""pt AS (SELECT *, sum(CASE WHEN raw > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY frame_n) AS part FROM bs),
+  s2 AS (SELECT match_id, frame_n, sqrt((bpx-lag(bpx, 2) OVER w)*(bpx-lag(bpx, 2) OVER w)+(bpy-lag(bpy, 2) OVER w)*(bpy-lag(bpy, 2) OVER w)) / greatest(frame_n - lag(frame_n, 2) OVER w, 1) AS speed FROM pt WINDOW w AS (PARTITION BY match_id, part ORDER BY frame_n))"""
+SHOTS = f"""{TOUCH}, {SPEED2}, bx AS (SELECT match_id, {", ".join(f"max({c}) FILTER (side = '{s}') AS {s[0]}_{c}" for s in ("left", "right") for c in ("gx1", "gx2", "gy1", "gy2"))} FROM goal_boxes GROUP BY match_id),
+  fr0 AS (SELECT bs.match_id, bs.frame_n, bs.bpx, bs.bpy, s2.speed, bs.bpx - bs.lx AS dx, near.player_id AS near_id, near.team AS near_team, tr.px AS near_px, c.team AS commit,
+    CASE WHEN bs.bpx BETWEEN l_gx1 - 12 AND l_gx2 + 12 AND bs.bpy BETWEEN l_gy1 - 12 AND l_gy2 + 12 THEN 'left' WHEN bs.bpx BETWEEN r_gx1 - 12 AND r_gx2 + 12 AND bs.bpy BETWEEN r_gy1 - 12 AND r_gy2 + 12 THEN 'right' END AS in_box
+    FROM bs JOIN s2 ON s2.match_id = bs.match_id AND s2.frame_n = bs.frame_n LEFT JOIN near ON near.match_id = bs.match_id AND near.frame_n = bs.frame_n
+    LEFT JOIN tracks tr ON tr.match_id = bs.match_id AND tr.frame_n = bs.frame_n AND tr.player_id = near.player_id
+    LEFT JOIN touch c ON c.match_id = bs.match_id AND c.frame_n = bs.frame_n AND c.pos = 6 LEFT JOIN bx ON bx.match_id = bs.match_id),
+  fr AS (SELECT *, last_value(commit IGNORE NULLS) OVER w AS held, lag(in_box) OVER w AS box0, lag(frame_n) OVER w AS frame0 FROM fr0 WINDOW w AS (PARTITION BY match_id ORDER BY frame_n)),
+  la AS (SELECT match_id, frame_n, held AS team, speed, CASE WHEN near_team = held THEN near_id END AS shooter_id, bpx AS x, bpy AS y, CASE WHEN held = 'team_a' THEN 1280 ELSE 0 END AS gx, CASE WHEN held = 'team_a' THEN 'right' ELSE 'left' END AS box
+    FROM fr WHERE held IS NOT NULL AND speed > 18 AND speed <= 90 AND CASE WHEN held = 'team_a' THEN dx > 0 ELSE dx < 0 END),
+  ev AS (SELECT la.match_id, la.frame_n, min(r.frame_n) FILTER (r.near_team <> la.team AND abs(r.near_px - la.gx) < 320) AS sv, min(r.frame_n) FILTER (r.in_box = la.box AND r.box0 = la.box AND r.frame0 > la.frame_n) AS gl
+    FROM la LEFT JOIN fr r ON r.match_id = la.match_id AND r.frame_n BETWEEN la.frame_n + 1 AND la.frame_n + 75 GROUP BY la.match_id, la.frame_n),
+  rs AS (SELECT la.match_id, la.frame_n, team, speed, shooter_id, x, y, sv IS NOT NULL AND (gl IS NULL OR sv <= gl) AS saved, gl, sv, coalesce(least(sv, gl), la.frame_n + 76) AS end_frame FROM la JOIN ev ON ev.match_id = la.match_id AND ev.frame_n = la.frame_n),
+  m AS MATERIALIZED (SELECT match_id, frame_n, greatest(end_frame + 1, frame_n + 38) AS nx FROM rs),
+  k AS (SELECT match_id, arg_min(nx, frame_n) AS nx, min(frame_n) AS frame_n FROM m GROUP BY match_id
+   UNION ALL SELECT k.match_id, (SELECT arg_min(m.nx, m.frame_n) FROM m WHERE m.match_id = k.match_id AND m.frame_n >= k.nx), (SELECT min(m.frame_n) FROM m WHERE m.match_id = k.match_id AND m.frame_n >= k.nx)
+   FROM k WHERE EXISTS (SELECT 1 FROM m WHERE m.match_id = k.match_id AND m.frame_n >= k.nx)),
+  sh AS (SELECT rs.match_id, rs.frame_n, rs.team, rs.speed, shooter_id, x, y, end_frame, CASE WHEN saved THEN 'save' WHEN gl IS NOT NULL THEN 'goal' ELSE 'missed' END AS outcome, CASE WHEN saved THEN fr.near_id END AS keeper_id
+   FROM rs JOIN k ON k.match_id = rs.match_id AND k.frame_n = rs.frame_n LEFT JOIN fr ON fr.match_id = rs.match_id AND fr.frame_n = rs.sv
+   WHERE end_frame <= (SELECT max(frame_n) FROM bs WHERE bs.match_id = rs.match_id))"""
+
+
+@query("wn_shot", f"WITH RECURSIVE {SHOTS} SELECT match_id, frame_n, team, {r4('speed')} AS speed, shooter_id, x, y FROM sh")
+def _(t):
+    return rounded(X.shots(frames(t)).select("match_id", "frame_n", "team", "speed", "shooter_id", "x", "y"), "speed")
+
+
+@query("wn_shot_resolve", f"WITH RECURSIVE {SHOTS} SELECT match_id, frame_n, team, shooter_id, x, y, end_frame, outcome, keeper_id FROM sh")
 def _(t):
     return X.shots(frames(t)).drop("speed")
 
@@ -53,10 +76,6 @@ def _(t):
     return X.goals_of_all_paths(rule, X.direct_goals(t.ball, t.goal_boxes, frames=2, pad=40, min_conf=5, cooldown=None), X.smart_goals(t.tracks, t.ball, s, cooldown=None))
 
 
-SPEED2 = f"""pt AS (SELECT *, sum(CASE WHEN raw > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY frame_n) AS part FROM bs),
-  s2 AS (SELECT match_id, frame_n, sqrt((bpx-lag(bpx, 2) OVER w)*(bpx-lag(bpx, 2) OVER w)+(bpy-lag(bpy, 2) OVER w)*(bpy-lag(bpy, 2) OVER w)) / greatest(frame_n - lag(frame_n, 2) OVER w, 1) AS speed FROM pt WINDOW w AS (PARTITION BY match_id, part ORDER BY frame_n))"""
-
-
 @query("wn_fast_break", greedy(
     f"{TOUCH}, {SPEED2}, {LINES.replace(NEAR.format(ball='ball', r2=22500), NEAR.format(ball='ball', r2=22500).replace('near AS', 'near2 AS')).replace('FROM near JOIN ball', 'FROM near2 near JOIN ball')}, pc AS (SELECT match_id, frame_n, team FROM touch WHERE pos = 6 AND held IS DISTINCT FROM team)",
     "SELECT DISTINCT match_id, team, li.frame_n FROM li JOIN s2 USING (match_id, frame_n) JOIN pc USING (match_id, team) WHERE speed BETWEEN 14 AND 80 AND between BETWEEN 1 AND 2 AND li.frame_n BETWEEN pc.frame_n + 10 AND pc.frame_n + 75".replace("li.frame_n", "li.frame_n"),
@@ -70,7 +89,25 @@ def _held(t):
     return t.ball.filter("bpx is not null").select("match_id", "frame_n", "bpx", "bpy").join(h, ["match_id", "frame_n"], "left")
 
 
-@query("wn_flight")
+def _turn(a, b):
+    return f"abs(({a} - {b} + 180e0) - 360e0 * floor(({a} - {b} + 180e0) / 360e0) - 180e0)"
+
+
+FLIGHTS = f"""{NEAR.format(ball='ball', r2=12100)}, fb AS (SELECT b.match_id, b.frame_n, b.bpx, b.bpy, n.player_id AS hid, n.team AS ht FROM ball b LEFT JOIN near n ON n.match_id = b.match_id AND n.frame_n = b.frame_n WHERE b.bpx IS NOT NULL),
+  f1 AS (SELECT *, sqrt((bpx - lag(bpx) OVER w) * (bpx - lag(bpx) OVER w) + (bpy - lag(bpy) OVER w) * (bpy - lag(bpy) OVER w)) AS v, degrees(atan2(bpy - lag(bpy) OVER w, bpx - lag(bpx) OVER w)) AS hd,
+    last_value(hid IGNORE NULLS) OVER e AS by_id, last_value(ht IGNORE NULLS) OVER e AS by_team, count(hid) OVER w - CASE WHEN hid IS NULL THEN 0 ELSE 1 END AS piece
+    FROM fb WINDOW w AS (PARTITION BY match_id ORDER BY frame_n), e AS (PARTITION BY match_id ORDER BY frame_n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  f2 AS (SELECT match_id, frame_n, bpx, bpy, hid, ht, v, CASE WHEN v > 0 THEN hd END AS h, by_id, by_team, piece, min(CASE WHEN hid IS NULL AND v >= 6 THEN frame_n END) OVER (PARTITION BY match_id, piece) AS f FROM f1 WHERE by_id IS NOT NULL),
+  f3 AS (SELECT *, min(CASE WHEN frame_n > f AND (hid IS NOT NULL OR frame_n - f > 30) THEN frame_n END) OVER (PARTITION BY match_id, piece) AS e FROM f2 WHERE f IS NOT NULL),
+  f4 AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY match_id, piece ORDER BY frame_n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h0 FROM f3 WHERE frame_n BETWEEN f AND e),
+  f5 AS (SELECT match_id, any_value(f) AS start_frame, any_value(e) AS end_frame, any_value(by_id) AS from_id, any_value(by_team) AS by_team, bool_and(coalesce({_turn('h', 'h0')} < 35, true)) AS ballistic,
+    max(CASE WHEN frame_n = f THEN v END) AS v0, max(CASE WHEN frame_n = f THEN least({_turn('h', 'degrees(atan2(360 - bpy, 0 - bpx))')}, {_turn('h', 'degrees(atan2(360 - bpy, 1280 - bpx))')}) END) AS aim,
+    max(CASE WHEN frame_n = e THEN hid END) AS to_id, max(CASE WHEN frame_n = e THEN ht END) AS to_team FROM f4 GROUP BY match_id, piece),
+  fx AS (SELECT match_id, start_frame, end_frame, CASE WHEN v0 >= 18 AND aim < 22 THEN 'shot' ELSE 'pass' END AS kind, from_id, CASE WHEN to_id <> from_id THEN to_id END AS to_id,
+    CASE WHEN to_id IS NULL OR to_id = from_id THEN 'open' WHEN to_team = by_team THEN 'completed' ELSE 'intercepted' END AS result, ballistic FROM f5)"""
+
+
+@query("wn_flight", f"WITH {FLIGHTS} SELECT * FROM fx WHERE result <> 'open' OR kind = 'shot'")
 def _(t):
     return X.flights(_held(t))
 

@@ -1,8 +1,8 @@
 """Event machines: shots, goals, fast breaks, flights, keeper saves, techniques.
 
 Predicates that depend on inputs only are blocked windows; a cooldown is a debounce over the
-few hits left.  The three genuinely recursive machines (active shot, ball flight, keeper shot)
-stream one row per frame through a small state.
+few hits left.  Shots are a chain of possible starts, flights fall into pieces between holders; only
+the keeper shot streams one row per frame through a small state.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from matchloom.functions.common import dist, sq_dist
 
 from matchloom.functions.pose import L_ANK, L_HIP, L_KNEE, L_SH, L_WR, NOSE, R_ANK, R_HIP, R_KNEE, R_SH, R_WR, Body
 from matchloom.operators.possession import ball_speed, nearest_player, valid_ball
-from matchloom.plans.folds import debounce
+from matchloom.plans.chains import chain, debounce
 from matchloom.plans.ordered import halo, number_rows, scan
 from matchloom.plans.ranges import interval_join
 from matchloom.plans.stateful import fold_rows
@@ -45,37 +45,49 @@ def ball_frames(tracks: DataFrame, ball: DataFrame, touch: DataFrame, boxes: Dat
 SHOT_COOLDOWN, SHOT_EXPIRES, GOAL_CHECKS, SAVE_ZONE = 37.5, 75, 2, 320.0
 
 
+def launches(frames: DataFrame, slow: float = 18.0, fast: float = 90.0) -> DataFrame:
+    """Ball frames at which a shot may start: possession, speed in range, moving towards the attacked goal."""
+    toward = F.when(F.col("held") == "team_a", F.col("dx") > 0).otherwise(F.col("dx") < 0)
+    ok = F.col("held").isNotNull() & (F.col("speed") > slow) & (F.col("speed") <= fast) & ~F.isnan("speed") & toward
+    shooter = F.when(F.col("near_team") == F.col("held"), F.col("near_id")).cast("long")
+    return frames.filter(ok).select(*FRAME, F.col("held").alias("team"), "speed", shooter.alias("shooter_id"), F.col("bpx").alias("x"), F.col("bpy").alias("y"))
+
+
 def shots(frames: DataFrame, slow: float = 18.0, fast: float = 90.0) -> DataFrame:
     """Shots and how they end: goal (in the attacked box on two checks), save (nearest is an opponent
-    close to the goal), or missed after three seconds."""
-    def start():
-        return {"shot": None, "last": -10**9, "streak": 0}
+    close to the goal), or missed when three seconds have passed, seen or not.
 
-    def step(s, row):
-        if row is None:
-            return s, []
-        f, out = row["frame_n"], []
-        shot = s["shot"]
-        if shot:
-            right = shot["team"] == "team_a"
-            goal_x = 1280 if right else 0
-            if f - shot["frame_n"] > SHOT_EXPIRES:
-                return {**s, "shot": None, "streak": 0}, [{**shot, "end_frame": f, "outcome": "missed", "keeper_id": None}]
-            if row["near_team"] and row["near_team"] != shot["team"] and abs(row["near_px"] - goal_x) < SAVE_ZONE:
-                return {**s, "shot": None, "streak": 0}, [{**shot, "end_frame": f, "outcome": "save", "keeper_id": int(row["near_id"])}]
-            streak = s["streak"] + 1 if row["in_box"] == ("right" if right else "left") else 0
-            if streak >= GOAL_CHECKS:
-                return {**s, "shot": None, "streak": 0}, [{**shot, "end_frame": f, "outcome": "goal", "keeper_id": None}]
-            return {**s, "streak": streak}, out
-        v, dx = row["speed"], row["dx"]
-        if row["held"] and v is not None and not math.isnan(v) and slow < v <= fast and f - s["last"] >= SHOT_COOLDOWN:
-            toward = dx is not None and (dx > 0 if row["held"] == "team_a" else dx < 0)
-            if toward:
-                return {"shot": {"frame_n": f, "team": row["held"], "speed": v}, "last": f, "streak": 0}, out
-        return s, out
-
-    return fold_rows(frames, ["match_id"], ["frame_n"], start, step,
-                     "match_id bigint, frame_n bigint, team string, speed double, end_frame bigint, outcome string, keeper_id bigint")
+    What ends a shot depends on its own next three seconds only, so every possible start looks ahead inside frame blocks; which of
+    them are shots is a chain, as none starts while another is open or cools down. A shot still open at the last frame is left out.
+    """
+    def ends(d, keys):
+        w = W.partitionBy(*keys).orderBy("frame_n")
+        for t, goal_x, box in (("a", 1280.0, "right"), ("b", 0.0, "left")):
+            team = f"team_{t}"
+            save = F.col("near_team").isNotNull() & (F.col("near_team") != team) & (F.abs(F.col("near_px") - goal_x) < SAVE_ZONE)
+            ahead = w.rangeBetween(1, SHOT_EXPIRES)
+            d = d.withColumn(f"save_{t}", F.min(F.when(save, F.struct("frame_n", F.col("near_id").cast("long").alias("keeper_id")))).over(ahead))
+            d = d.withColumn("_in", F.coalesce(F.col("in_box") == box, F.lit(False)))
+            both = F.col("_in") & F.coalesce(F.lag("_in", GOAL_CHECKS - 1).over(w), F.lit(False))
+            # a check counts only if its first frame comes after the start, so the start's own next row cannot complete one
+            d = d.withColumn("_goal", F.when(both, F.struct("frame_n", F.lag("frame_n", GOAL_CHECKS - 1).over(w).alias("since"))))
+            d = d.withColumn("_goals", F.collect_list("_goal").over(ahead))
+            d = d.withColumn(f"goal_{t}", F.array_min(F.transform(F.filter("_goals", lambda g: g.since > F.col("frame_n")), lambda g: g.frame_n)))
+        return d.drop("_in", "_goal", "_goals")
+
+    cols = [*FRAME, "near_team", "near_px", "near_id", "in_box"]
+    seen = halo(frames.select(*cols), ["match_id"], "frame_n", 0, ends, ahead=SHOT_EXPIRES + 1)
+    home = F.col("team") == "team_a"
+    d = launches(frames, slow, fast).join(seen.select(*FRAME, "save_a", "save_b", "goal_a", "goal_b"), FRAME)
+    d = d.withColumn("save", F.when(home, F.col("save_a")).otherwise(F.col("save_b"))).withColumn("goal", F.when(home, F.col("goal_a")).otherwise(F.col("goal_b")))
+    saved = F.col("save").isNotNull() & (F.col("goal").isNull() | (F.col("save.frame_n") <= F.col("goal")))
+    outcome = F.when(saved, "save").when(F.col("goal").isNotNull(), "goal").otherwise("missed")
+    end = F.coalesce(F.least("save.frame_n", "goal"), F.col("frame_n") + SHOT_EXPIRES + 1)
+    d = d.select(*FRAME, "team", "speed", "shooter_id", "x", "y", end.alias("end_frame"), outcome.alias("outcome"), F.when(saved, F.col("save.keeper_id")).alias("keeper_id"))
+    d = d.withColumn("_next", F.greatest(F.col("end_frame") + 1, F.col("frame_n") + math.ceil(SHOT_COOLDOWN)))
+    kept = chain(d, ["match_id"], "frame_n", "_next").drop("_next")
+    last = frames.groupBy("match_id").agg(F.max("frame_n").alias("_last"))
+    return kept.join(last, "match_id").filter(F.col("end_frame") <= F.col("_last")).drop("_last")
 
 
 def direct_goals(ball: DataFrame, boxes: DataFrame, frames: int = 4, pad: int = 10, min_conf: int = 25, cooldown: int | None = 75) -> DataFrame:
@@ -128,45 +140,37 @@ def fast_breaks(changes: DataFrame, ball: DataFrame, lines: DataFrame, after=(10
 def flights(frames: DataFrame, shot_speed: float = 18.0, pass_speed: float = 6.0, cone: float = 22.0, longest: int = 30, bend: float = 35.0) -> DataFrame:
     """Ball flights: launched when the ball leaves its holder, closed at another player or after ``longest`` frames.
 
-    ``frames`` has one row per ball frame with holder_id / holder_team (null when nobody is near).
+    ``frames`` has one row per ball frame with holder_id / holder_team (null when nobody is near). A frame with a holder
+    settles the state whatever came before, so a match falls into pieces between holders: at most one flight each, launched at the
+    first frame fast enough. Pieces are grouped aggregations; nothing walks a match.
     """
-    def start():
-        return {"held": None, "prev": None, "air": None}
-
-    def heading(a, b):
-        return math.degrees(math.atan2(b[1] - a[1], b[0] - a[0]))
+    here, held = F.struct("bpx", "bpy"), F.col("holder_id").isNotNull() & ~F.isnan(F.col("holder_id").cast("double"))
+    owner = F.when(held, F.struct(F.col("holder_id").cast("long").alias("id"), F.col("holder_team").alias("team")))
+    d = scan(frames.select(*FRAME, "bpx", "bpy", "holder_id", "holder_team"), ["match_id"], "frame_n", lag={"q": here}, prior={"by": owner}, sums={"piece": held.cast("long")})
+    d = d.withColumn("own", owner).withColumn("piece", F.col("piece") - held.cast("long")).filter("by IS NOT NULL")
+    dx, dy = F.col("bpx") - F.col("q.bpx"), F.col("bpy") - F.col("q.bpy")
+    d = d.withColumn("v", F.sqrt(dx * dx + dy * dy)).withColumn("h", F.when(F.col("v") > 0, F.degrees(F.atan2(dy, dx))))
+    piece = ["match_id", "piece"]
+    start = F.struct(F.col("frame_n").alias("f"), "v", "h", "by", F.col("bpx").alias("x"), F.col("bpy").alias("y"))
+    began = d.filter(F.col("own").isNull() & (F.col("v") >= pass_speed)).groupBy(*piece).agg(F.min_by(start, "frame_n").alias("s"))
+    d = d.join(began, piece).filter(F.col("frame_n") >= F.col("s.f"))
+    over = (F.col("frame_n") > F.col("s.f")) & (F.col("own").isNotNull() | (F.col("frame_n") - F.col("s.f") > longest))
+    ended = d.filter(over).groupBy(*piece).agg(F.min_by(F.struct("frame_n", "own"), "frame_n").alias("e"))
+    d = d.join(ended, piece).filter(F.col("frame_n") <= F.col("e.frame_n"))
 
     def turn(a, b):
-        return abs((a - b + 180) % 360 - 180)
-
-    def step(s, row):
-        if row is None:
-            return s, []
-        f, p = row["frame_n"], (row["bpx"], row["bpy"])
-        holder = None if row["holder_id"] is None or math.isnan(row["holder_id"]) else (int(row["holder_id"]), row["holder_team"])
-        air, prev = s["air"], s["prev"]
-        if air:
-            h = heading(prev, p) if math.dist(prev, p) > 0 else air["h"]
-            air = {**air, "straight": air["straight"] and turn(h, air["h"]) < bend, "h": h}
-            if holder and holder[0] != air["from"][0]:
-                done = {"start_frame": air["f"], "end_frame": f, "kind": air["kind"], "from_id": air["from"][0], "to_id": holder[0],
-                        "result": "completed" if holder[1] == air["from"][1] else "intercepted", "ballistic": air["straight"]}
-                return {"held": holder, "prev": p, "air": None}, [done]
-            if f - air["f"] > longest or holder:
-                lost = {"start_frame": air["f"], "end_frame": f, "kind": air["kind"], "from_id": air["from"][0], "to_id": None, "result": "open", "ballistic": air["straight"]}
-                return {"held": holder, "prev": p, "air": None}, [lost] if air["kind"] == "shot" else []
-            return {**s, "prev": p, "air": air}, []
-        if s["held"] and not holder and prev:
-            v = math.dist(prev, p)
-            if v >= pass_speed:
-                h = heading(prev, p)
-                aim = min(turn(h, heading(p, (gx, 360.0))) for gx in (0.0, 1280.0))
-                kind = "shot" if v >= shot_speed and aim < cone else "pass"
-                return {"held": None, "prev": p, "air": {"f": f, "from": s["held"], "kind": kind, "h": h, "straight": True}}, []
-        return {"held": holder or (s["held"] if prev and math.dist(prev, p) < pass_speed else None), "prev": p, "air": None}, []
-
-    return fold_rows(frames, ["match_id"], ["frame_n"], start, step,
-                     "match_id bigint, start_frame bigint, end_frame bigint, kind string, from_id bigint, to_id bigint, result string, ballistic boolean")
+        return F.abs(F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0)
+
+    w = W.partitionBy(*piece).orderBy("frame_n").rowsBetween(W.unboundedPreceding, -1)  # at most longest + 2 frames
+    steady = F.coalesce(turn(F.col("h"), F.last("h", ignorenulls=True).over(w)) < bend, F.lit(True))
+    d = d.withColumn("steady", steady).groupBy(*piece).agg(F.first("s").alias("s"), F.first("e").alias("e"), F.min("steady").alias("ballistic"))
+    aim = F.least(*[turn(F.col("s.h"), F.degrees(F.atan2(360.0 - F.col("s.y"), gx - F.col("s.x")))) for gx in (F.lit(0.0), F.lit(1280.0))])
+    kind = F.when((F.col("s.v") >= shot_speed) & (aim < cone), "shot").otherwise("pass")
+    other = F.col("e.own").isNotNull() & (F.col("e.own.id") != F.col("s.by.id"))
+    result = F.when(other & (F.col("e.own.team") == F.col("s.by.team")), "completed").when(other, "intercepted").otherwise("open")
+    out = d.select("match_id", F.col("s.f").alias("start_frame"), F.col("e.frame_n").alias("end_frame"), kind.alias("kind"), F.col("s.by.id").alias("from_id"),
+                   F.when(other, F.col("e.own.id")).alias("to_id"), result.alias("result"), "ballistic")
+    return out.filter("result <> 'open' OR kind = 'shot'")
 
 
 def keeper_shots(frames: DataFrame, speed: float = 18.0, near_px: float = 288.0, drop: float = 0.45, bend: float = 70.0, longest: int = 60) -> DataFrame:

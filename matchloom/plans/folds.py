@@ -1,36 +1,7 @@
-"""Greedy sequential rules (cooldowns, debounces) on pre-filtered candidate rows.
-
-A cooldown of N frames forgets everything before a quiet gap of N frames, so a
-key is first cut at such gaps (a scan, no single-task window); each burst is
-then folded on the JVM over its candidate positions only.
-"""
+"""Greedy sequential rules (cooldowns, debounces) on pre-filtered candidate rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from matchloom.plans.ordered import BLOCK, segments
-
-
-def bursts(df: DataFrame, keys: list[str], order: str, gap: int, block: int = BLOCK) -> DataFrame:
-    """Number the bursts of a key: a new one starts after a gap of at least ``gap``."""
-    return segments(df, keys, order, [order], lambda p, c: c(order) - p(order) >= gap, "burst", block)
-
-
-def greedy_gap(order: Column, cooldown: int) -> Column:
-    """Positions kept from a sorted array: each at least ``cooldown`` after the last kept."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(
-        order, empty,
-        lambda kept, t: F.when(
-            (F.size(kept) == 0) | (t - F.element_at(kept, -1) >= cooldown), F.array_append(kept, t)
-        ).otherwise(kept),
-    )
-
+from matchloom.plans.chains import debounce
 
-def debounce(df: DataFrame, keys: list[str], order: str, cooldown: int, block: int = BLOCK) -> DataFrame:
-    """Rows (keys, order) kept when repeats within ``cooldown`` of the last kept row are dropped."""
-    one = df.select(*keys, order).distinct()
-    b = bursts(one, keys, order, cooldown, block)
-    short = b.groupBy(*keys, "burst").agg(F.array_sort(F.collect_list(order)).alias("_ts"))
-    return short.select(*keys, F.explode(greedy_gap(F.col("_ts"), cooldown)).alias(order))
+__all__ = ["debounce"]

@@ -60,7 +60,7 @@ def test_islands(rows):
         assert got[(r.k, r.f)] == n
 
 
-@pytest.mark.parametrize("cooldown", [1, 5, 30])
+@pytest.mark.parametrize("cooldown", [1, 5, 30, 170])
 def test_debounce_equals_loop(rows, cooldown):
     got = sorted((r.k, r.f) for r in folds.debounce(rows, ["k"], "f", cooldown, block=50).collect())
     want, last = [], {}
