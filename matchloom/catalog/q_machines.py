@@ -112,7 +112,18 @@ def _(t):
     return X.flights(_held(t))
 
 
-@query("wn_gk_shot")
+KEEPER = f"""{SHOTS[: SHOTS.index("  la AS")].rstrip().rstrip(",")},
+  ks AS (SELECT match_id, frame_n AS lo, dx AS dx0, CASE WHEN dx < 0 AND bpx < 288 THEN 'left' ELSE 'right' END AS side FROM fr WHERE speed >= 18 AND (dx < 0 AND bpx < 288 OR dx > 0 AND bpx > 992)),
+  kd AS (SELECT ks.*, r.frame_n, r.near_id, r.in_box, r.dx, r.speed, max(r.speed) OVER (PARTITION BY ks.match_id, lo ORDER BY r.frame_n) AS peak FROM ks JOIN fr r ON r.match_id = ks.match_id AND r.frame_n BETWEEN lo AND lo + 60),
+  ke AS (SELECT match_id, lo, frame_n, peak, CASE WHEN in_box = side THEN 'goal' WHEN near_id IS NOT NULL THEN 'save' ELSE 'missed' END AS outcome FROM kd WHERE frame_n > lo AND (coalesce(in_box = side, false) OR coalesce(speed < 0.45e0 * peak, false) OR coalesce(dx * dx0 < 0, false))),
+  kf AS (SELECT match_id, lo, min(frame_n) AS e, arg_min(peak, frame_n) AS peak, arg_min(outcome, frame_n) AS outcome FROM ke GROUP BY match_id, lo),
+  kr AS (SELECT a.match_id, a.lo AS start_frame, coalesce(e, a.lo + 60) AS end_frame, a.side, coalesce(kf.peak, a.peak) AS peak, coalesce(kf.outcome, 'unknown') AS outcome
+    FROM (SELECT match_id, lo, any_value(side) AS side, max(peak) AS peak FROM kd GROUP BY match_id, lo) a LEFT JOIN kf ON kf.match_id = a.match_id AND kf.lo = a.lo),
+  m AS MATERIALIZED (SELECT match_id, start_frame AS frame_n, end_frame + 1 AS nx FROM kr),
+  {SHOTS[SHOTS.index("k AS (SELECT match_id, arg_min(nx"): SHOTS.index("  sh AS")].rstrip().rstrip(",")}"""
+
+
+@query("wn_gk_shot", f"WITH RECURSIVE {KEEPER} SELECT kr.match_id, start_frame, end_frame, side, {r4('peak')} AS peak, outcome FROM kr JOIN k ON k.match_id = kr.match_id AND k.frame_n = kr.start_frame WHERE end_frame <= (SELECT max(frame_n) FROM bs WHERE bs.match_id = kr.match_id)")
 def _(t):
     return rounded(X.keeper_shots(frames(t)), "peak")
 

@@ -1,8 +1,8 @@
 """Event machines: shots, goals, fast breaks, flights, keeper saves, techniques.
 
 Predicates that depend on inputs only are blocked windows; a cooldown is a debounce over the
-few hits left.  Shots are a chain of possible starts, flights fall into pieces between holders; only
-the keeper shot streams one row per frame through a small state.
+few hits left.  Shots are chains of possible starts, each followed through its own next seconds;
+flights fall into pieces between holders.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from matchloom.operators.possession import ball_speed, nearest_player, valid_bal
 from matchloom.plans.chains import chain, debounce
 from matchloom.plans.ordered import halo, number_rows, scan
 from matchloom.plans.ranges import interval_join
-from matchloom.plans.stateful import fold_rows
 
 FRAME = ["match_id", "frame_n"]
 
@@ -173,36 +172,28 @@ def flights(frames: DataFrame, shot_speed: float = 18.0, pass_speed: float = 6.0
     return out.filter("result <> 'open' OR kind = 'shot'")
 
 
-def keeper_shots(frames: DataFrame, speed: float = 18.0, near_px: float = 288.0, drop: float = 0.45, bend: float = 70.0, longest: int = 60) -> DataFrame:
-    """Shots at a keeper: start fast towards a goal within 9 m, end at contact (slow-down or turn) or by time."""
-    def start():
-        return None
-
-    def step(s, row):
-        if row is None:
-            return s, []
-        f, v, dx = row["frame_n"], row["speed"], row["dx"]
-        x = row["bpx"]
-        v = None if v is None or math.isnan(v) else v
-        if s is None:
-            toward_left, toward_right = dx is not None and dx < 0 and x < near_px, dx is not None and dx > 0 and x > 1280 - near_px
-            if v is not None and v >= speed and (toward_left or toward_right):
-                return {"f": f, "side": "left" if toward_left else "right", "peak": v, "dx": dx}, []
-            return s, []
-        peak = max(s["peak"], v or 0.0)
-        turned = dx is not None and dx * s["dx"] < 0
-        contact = (v is not None and v < drop * peak) or turned
-        out = {"start_frame": s["f"], "end_frame": f, "side": s["side"], "peak": peak}
-        if row["in_box"] == s["side"]:
-            return None, [{**out, "outcome": "goal"}]
-        if contact:
-            return None, [{**out, "outcome": "save" if row["near_id"] is not None and not math.isnan(row["near_id"]) else "missed"}]
-        if f - s["f"] >= longest:
-            return None, [{**out, "outcome": "unknown"}]
-        return {**s, "peak": peak}, []
-
-    return fold_rows(frames, ["match_id"], ["frame_n"], start, step,
-                     "match_id bigint, start_frame bigint, end_frame bigint, side string, peak double, outcome string")
+def keeper_shots(frames: DataFrame, speed: float = 18.0, near_px: float = 288.0, drop: float = 0.45, longest: int = 60) -> DataFrame:
+    """Shots at a keeper: start fast towards a goal within 9 m, end in the goal, at contact (slow-down or turn), or after ``longest`` frames.
+
+    Each possible start is followed through its own next ``longest`` frames, where the peak speed runs along; which starts are shots is
+    a chain, as none begins while another is open. A shot still open at the last frame is left out.
+    """
+    left, right = (F.col("dx") < 0) & (F.col("bpx") < near_px), (F.col("dx") > 0) & (F.col("bpx") > 1280 - near_px)
+    v = F.when(~F.isnan("speed"), F.col("speed"))
+    starts = frames.filter((v >= speed) & (left | right)).select("match_id", F.col("frame_n").alias("lo"), (F.col("frame_n") + longest).alias("hi"), F.col("dx").alias("dx0"), F.when(left, "left").otherwise("right").alias("side"))
+    seen = frames.select(*FRAME, v.alias("v"), "dx", F.col("near_id").isNotNull().alias("near"), "in_box")
+    d = interval_join(seen, starts, ["match_id"], "frame_n", "lo", "hi", bucket=64)
+    start = ["match_id", "lo"]
+    d = d.withColumn("peak", F.coalesce(F.max("v").over(W.partitionBy(*start).orderBy("frame_n")), F.lit(0.0)))  # longest + 1 rows at most
+    goal = F.coalesce(F.col("in_box") == F.col("side"), F.lit(False))
+    contact = F.coalesce(F.col("v") < drop * F.col("peak"), F.lit(False)) | F.coalesce(F.col("dx") * F.col("dx0") < 0, F.lit(False))
+    outcome = F.when(goal, "goal").when(contact, F.when(F.col("near"), "save").otherwise("missed"))
+    ends = F.min(F.when((F.col("frame_n") > F.col("lo")) & (goal | contact), F.struct("frame_n", outcome.alias("outcome"), "peak")))
+    d = d.groupBy(*start).agg(F.first("side").alias("side"), F.first("hi").alias("hi"), ends.alias("e"), F.max("peak").alias("all_peak"))
+    d = d.select("match_id", F.col("lo").alias("start_frame"), F.coalesce("e.frame_n", "hi").alias("end_frame"), "side", F.coalesce("e.peak", "all_peak").alias("peak"), F.coalesce("e.outcome", F.lit("unknown")).alias("outcome"))
+    kept = chain(d.withColumn("_next", F.col("end_frame") + 1), ["match_id"], "start_frame", "_next").drop("_next")
+    last = frames.groupBy("match_id").agg(F.max("frame_n").alias("_last"))
+    return kept.join(last, "match_id").filter(F.col("end_frame") <= F.col("_last")).drop("_last")
 
 
 def reactions(starts: DataFrame, tracks: DataFrame, fps: float = 25.0, moved: float = 12.0, longest: int = 60) -> DataFrame:

@@ -99,6 +99,72 @@ def test_shot_machine_goal_save_and_expiry(spark):
     assert rows(X.shots(df), "match_id", "end_frame", "outcome") == [(1, 2, "goal"), (2, 3, "save"), (3, 76, "missed")]
 
 
+FRAMES = "match_id bigint, frame_n bigint, bpx bigint, bpy bigint, speed double, dx bigint, near_id bigint, near_team string, near_px bigint, held string, in_box string"
+
+
+def random_frames(rnd, matches=4, n=900):
+    out = []
+    for m in range(matches):
+        for f in range(n):
+            if rnd.random() < 0.15:
+                continue
+            near = rnd.random() < 0.3
+            out.append((m, f, rnd.randrange(1280), 300, rnd.choice([None, rnd.uniform(0, 30), rnd.uniform(0, 100)]), rnd.randrange(-9, 10), rnd.randrange(14) if near else None,
+                        rnd.choice(["team_a", "team_b"]) if near else None, rnd.choice([100, 640, 1200]) if near else None, rnd.choice([None, "team_a", "team_b"]), rnd.choice([None, None, None, "left", "right"])))
+    return out
+
+
+def test_shots_equal_a_walk_through_every_frame(spark):
+    data = random_frames(random.Random(5))
+    want = []
+    for m in range(4):
+        frames = [r for r in data if r[0] == m]
+        last, shot, free, cooled, end = frames[-1][1], None, -1, -99, None
+        for k, (_, f, x, y, v, dx, nid, nteam, npx, held, box) in enumerate(frames):
+            if shot and f > shot[1] + 75:
+                want.append((*shot, shot[1] + 76, "missed", None))
+                free, shot = shot[1] + 77, None
+            if shot:
+                goal_x, side = (1280, "right") if shot[2] == "team_a" else (0, "left")
+                if nteam and nteam != shot[2] and abs(npx - goal_x) < 320:
+                    want.append((*shot, f, "save", nid))
+                    free, shot = f + 1, None
+                elif box == side and frames[k - 1][10] == side and frames[k - 1][1] > shot[1]:
+                    want.append((*shot, f, "goal", None))
+                    free, shot = f + 1, None
+            elif f >= free and f - cooled >= 37.5 and held and v is not None and 18 < v <= 90 and (dx > 0 if held == "team_a" else dx < 0):
+                shot, cooled = (m, f, held, nid if nteam == held else None), f
+        if shot and shot[1] + 76 <= last:
+            want.append((*shot, shot[1] + 76, "missed", None))
+    assert len(want) > 40 and len({w[5] for w in want}) == 3
+    df = spark.createDataFrame(data, FRAMES)
+    assert rows(X.shots(df), "match_id", "frame_n", "team", "shooter_id", "end_frame", "outcome", "keeper_id") == sorted(want, key=lambda w: w[:2])
+
+
+def test_keeper_shots_equal_a_walk_through_every_frame(spark):
+    data = random_frames(random.Random(6))
+    want = []
+    for m in range(4):
+        s, free, frames = None, -1, [r for r in data if r[0] == m]
+        for _, f, x, y, v, dx, nid, nteam, npx, held, box in frames:
+            if s and f > s[0] + 60:
+                want.append((m, s[0], s[0] + 60, s[1], s[2], "unknown"))
+                s, free = None, s[0] + 61
+            if s:
+                peak = max(s[2], v or 0.0)
+                out = "goal" if box == s[1] else ("save" if nid is not None else "missed") if (v is not None and v < 0.45 * peak) or dx * s[3] < 0 else "unknown" if f == s[0] + 60 else None
+                s = (s[0], s[1], peak, s[3])
+                if out:
+                    want.append((m, s[0], f, s[1], peak, out))
+                    s, free = None, f + 1
+            elif f >= free and v is not None and v >= 18 and (dx < 0 and x < 288 or dx > 0 and x > 992):
+                s = (f, "left" if dx < 0 else "right", v, dx)
+        if s and s[0] + 60 <= frames[-1][1]:
+            want.append((m, s[0], s[0] + 60, s[1], s[2], "unknown"))
+    assert len(want) > 100
+    assert rows(X.keeper_shots(spark.createDataFrame(data, FRAMES)), "match_id", "start_frame", "end_frame", "side", "peak", "outcome") == sorted(want)
+
+
 def test_flight_completed_and_intercepted(spark):
     def path(m, to_team):
         pts = [(100, 1, "team_a"), (112, None, None), (130, None, None), (150, 2, to_team)]
