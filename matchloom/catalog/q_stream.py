@@ -12,15 +12,16 @@ from matchloom.session import checkpoint_dir
 from matchloom.streaming import live as L
 
 
-def staged(t, df, at, chunks=3):
-    """Write a table as a few files in time order, then open it as a stream (one file set per batch)."""
+def staged(t, df, at, chunks=3, rows_per_file=1_000_000):
+    """Write a table in chunks of time, each dealt over files of bounded size, then open it as a stream (one chunk per batch)."""
     path = f"{checkpoint_dir(t.spark)}/feeds/{uuid.uuid4().hex}"
-    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    lo, hi, n = df.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
     step = (hi - lo) / chunks
+    files = max(4, -(-n // (chunks * rows_per_file)))
     for i in range(chunks):
         part = df.filter((F.col(at) >= F.lit(lo + step * i)) & ((F.col(at) < F.lit(lo + step * (i + 1))) if i + 1 < chunks else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return L.source(t.spark, path, df.schema, files_per_batch=1)
+        part.repartition(files).write.mode("append").parquet(path)
+    return L.source(t.spark, path, df.schema, files_per_batch=files)
 
 
 def done(d):
