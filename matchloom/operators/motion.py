@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from matchloom import params as P
@@ -16,6 +15,7 @@ from matchloom.functions import zones as Z
 from matchloom.functions.common import codes, count_if, dist, metres, pct, r4
 from matchloom.functions.scoring import norm_compare
 from matchloom.operators.calibrate import against_norms
+from matchloom.plans import clamps
 from matchloom.plans.folds import debounce
 from matchloom.plans.ordered import BLOCK, halo, number_rows, scan
 from matchloom.session import cut_lineage
@@ -104,43 +104,18 @@ def stamina_delta(speed: Column, fps: float) -> Column:
     )
 
 
-def _clamp(v: Column, lo: int, hi: int) -> Column:
-    return F.greatest(F.lit(lo).cast("bigint"), F.least(F.lit(hi).cast("bigint"), v))
+def stamina(tracks: DataFrame, fps: float = P.FPS, lo: int = 10 * SCALE, hi: int = 100 * SCALE, block: int = clamps.BLOCK) -> DataFrame:
+    """Stamina after every row, a running sum held in [lo, hi]; speeds and block maps come from one shuffle."""
+    back = 25
+    block = block if block > back else 2 * back
 
+    def build(d, keys):
+        d = _step_cols(d, keys, back - 1, fps, P.MAX_SPEED_MS).filter(~F.col("_halo"))
+        return clamps.block_maps(d, keys, "frame_n", stamina_delta(F.col("speed"), fps), lo, hi, block)
 
-def stamina(tracks: DataFrame, fps: float = P.FPS, lo: int = 10 * SCALE, hi: int = 100 * SCALE, block: int = BLOCK) -> DataFrame:
-    """Stamina after every row.
-
-    Each row maps s to clamp(s + d); such maps compose into clamp(s + a, f, c),
-    so a block reduces to three numbers, the blocks of a key are chained over
-    those, and every block then replays from its own start value.
-    """
-    by = [*KEYS, "b"]
-    d = cut_lineage(steps(tracks.select(*KEYS, "frame_n", "x_cm", "y_cm"), max_gap=24, fps=fps).select(
-        *KEYS, "frame_n", F.floor(F.col("frame_n") / F.lit(float(block))).cast("bigint").alias("b"), stamina_delta(F.col("speed"), fps).alias("d")))  # read twice below
-    unit = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(lo).cast("bigint").alias("f"), F.lit(hi).cast("bigint").alias("c"))
-    deltas = F.transform(F.array_sort(F.collect_list(F.struct("frame_n", "d"))), lambda r: r["d"])  # one block of rows
-    maps = d.groupBy(*by).agg(deltas.alias("ds")).select(
-        *by,
-        F.aggregate(
-            "ds", unit,
-            lambda m, x: F.struct((m["a"] + x).alias("a"), _clamp(m["f"] + x, lo, hi).alias("f"), _clamp(m["c"] + x, lo, hi).alias("c")),
-        ).alias("m"),
-    )
-    w = W.partitionBy(*KEYS).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    chain = maps.select(*by, F.collect_list("m").over(w).alias("ms"))
-    start = F.aggregate("ms", F.lit(hi).cast("bigint"), lambda s, m: F.greatest(m["f"], F.least(m["c"], s + m["a"])))
-    rows = d.join(chain.select(*by, start.alias("s0")), by)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_n")
-        s, out = int(pdf.s0.iloc[0]), []
-        for x in pdf.d.tolist():
-            s = min(hi, max(lo, s + x))
-            out.append(s)
-        return pdf[[*KEYS, "frame_n"]].assign(stamina=out)
-
-    return rows.groupBy(*by).applyInPandas(replay, "match_id bigint, player_id bigint, frame_n bigint, stamina bigint")
+    maps = halo(tracks.select(*KEYS, "frame_n", "x_cm", "y_cm"), KEYS, "frame_n", back, build, block=block)
+    maps = cut_lineage(maps.select(*KEYS, "frame_n", *clamps.MAP, "_end"))  # read twice below
+    return clamps.replay(maps, KEYS, "frame_n", lo, hi, hi, "stamina", block)
 
 
 def rest_windows(tracks: DataFrame, rest_s: float = 30.0, fps: float = P.FPS) -> DataFrame:

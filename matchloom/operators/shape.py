@@ -159,22 +159,35 @@ def ball_lines(tracks: DataFrame, holder: DataFrame, slack_cm: int = 300, lane_c
         count_if(between & (F.abs(F.col("y_cm") - 1000) < lane_cm)).alias("lane"))
 
 
-def covered_cells(players: DataFrame, by: list[str], radius: float = 3.5) -> DataFrame:
-    """Number of 1 m cells of the team's own half within reach of its players.
+HALF = 20  # cells of 1 m along both sides of a half
+PACKED = 3  # columns of HALF bits in one long
 
-    Each player marks the few cells around it; the distinct count replaces a grid-by-player product.
+
+def open_cells(players: DataFrame, by: list[str], radius: float = 3.5) -> DataFrame:
+    """open_m2: 1 m cells of the team's own half (400) out of reach of the group's players in that half.
+
+    A disc is rasterised column by column: its cells in one column are a run of bits. Three columns of 20 bits are one
+    long, so the players of a group reduce map-side to seven longs joined by ``bit_or``.
     """
-    reach = int(radius) + 1
-    cx, cy = F.floor(F.col("x_cm") / 100.0).cast("bigint"), F.floor(F.col("y_cm") / 100.0).cast("bigint")
-    off = F.sequence(F.lit(-reach).cast("bigint"), F.lit(reach).cast("bigint"))
-    d = players.select(*by, "team", "x_cm", "y_cm", cx.alias("cx"), cy.alias("cy"), F.explode(off).alias("dx"))
-    d = d.select("*", F.explode(off).alias("dy"))
-    gx, gy = F.col("cx") + F.col("dx"), F.col("cy") + F.col("dy")
-    d = d.withColumn("gx", gx).withColumn("gy", gy)
-    lo = F.when(F.col("team") == "team_a", F.lit(0)).otherwise(F.lit(20))
-    inside = F.col("gx").between(lo, lo + 19) & F.col("gy").between(0, 19)
-    near = sq_dist(F.col("gx") * 100 + 50, F.col("gy") * 100 + 50, F.col("x_cm"), F.col("y_cm")) <= (radius * 100) * (radius * 100)
-    return d.filter(inside & near).select(*by, "team", "gx", "gy").distinct().groupBy(*by, "team").agg(F.count(F.lit(1)).alias("covered"))
+    reach = radius * 100
+    x = F.col("x_cm") - F.when(F.col("team") == "team_a", F.lit(0)).otherwise(F.lit(HALF * 100))
+    lo = F.greatest(F.ceil((x - 50 - reach) / 100), F.lit(0)).cast("int")
+    hi = F.least(F.floor((x - 50 + reach) / 100), F.lit(HALF - 1)).cast("int")
+    columns = F.when(in_own_half() & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array(F.lit(-1)))  # -1: marks nothing
+    d = players.select(*by, "y_cm", x.alias("x"), F.explode(columns).alias("k"))
+    left = F.lit(reach * reach) - (F.col("x") - (F.col("k") * 100 + 50)) * (F.col("x") - (F.col("k") * 100 + 50))
+    d = d.select(*by, "k", "y_cm", F.sqrt(F.greatest(left, F.lit(0.0))).alias("half"))
+    d = d.select(
+        *by, "k", F.greatest(F.ceil((F.col("y_cm") - 50 - F.col("half")) / 100), F.lit(0)).cast("int").alias("lo"),
+        F.least(F.floor((F.col("y_cm") - 50 + F.col("half")) / 100), F.lit(HALF - 1)).cast("int").alias("hi"))
+    one = F.lit(1).cast("bigint")
+    run = F.call_function("shiftleft", one, F.col("hi") + 1) - F.call_function("shiftleft", one, F.col("lo"))
+    run = F.when((F.col("k") >= 0) & (F.col("hi") >= F.col("lo")), run).otherwise(F.lit(0).cast("bigint"))
+    d = d.select(*by, F.floor(F.col("k") / PACKED).alias("word"), F.call_function("shiftleft", run, F.pmod("k", F.lit(PACKED)) * HALF).alias("bits"))
+    none = F.lit(0).cast("bigint")
+    words = [F.bit_or(F.when(F.col("word") == k, F.col("bits")).otherwise(none)).alias(f"w{k}") for k in range(-(-HALF // PACKED))]
+    covered = sum((F.bit_count(f"w{k}") for k in range(1, len(words))), F.bit_count("w0"))
+    return d.groupBy(*by).agg(*words).select(*by, (F.lit(HALF * HALF) - covered).alias("open_m2"))
 
 
 def in_own_half() -> Column:
@@ -183,9 +196,7 @@ def in_own_half() -> Column:
 
 def coverage(tracks: DataFrame) -> DataFrame:
     """Uncovered square metres of the own half per frame and team (400 when nobody is back)."""
-    cov = covered_cells(tracks.filter(in_own_half()), FRAME)
-    teams = tracks.select(*FT).distinct()
-    return teams.join(cov, FT, "left").select(*FT, (F.lit(400) - F.coalesce("covered", F.lit(0))).alias("open_m2"))
+    return open_cells(tracks, FT)
 
 
 def transitions(tracks: DataFrame, changes: DataFrame, max_frames: int = 200, min_defenders: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -219,10 +230,8 @@ def transitions(tracks: DataFrame, changes: DataFrame, max_frames: int = 200, mi
 
 def worst_open_space(live: DataFrame) -> DataFrame:
     """Largest uncovered area over the frames of each episode."""
-    by = ["match_id", "start_frame", "frame_n"]
-    cov = covered_cells(live.filter(in_own_half()), by)
-    fr = live.select(*by, "team").distinct().join(cov, [*by, "team"], "left")
-    return fr.groupBy("match_id", "start_frame", "team").agg(F.max(F.lit(400) - F.coalesce("covered", F.lit(0))).alias("max_open_m2"))
+    by = ["match_id", "start_frame", "team"]
+    return open_cells(live, [*by, "frame_n"]).groupBy(*by).agg(F.max("open_m2").alias("max_open_m2"))
 
 
 # ---- shot options -------------------------------------------------------------
