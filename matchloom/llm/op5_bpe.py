@@ -68,7 +68,8 @@ class TrieEncoder:
             if a in self.built and b in self.built:
                 self.built.add(whole)
         self.pairs: dict[int, bool] = {}
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
         self.cached = cache
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.special_ids = special
@@ -107,9 +108,9 @@ class TrieEncoder:
         self.pairs[a << 20 | b] = ok
         return ok
 
-    def words(self, words: list[str]) -> dict[str, list[int]]:
+    def words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of distinct symbol strings (see `symbols`) by one depth-first walk over their trie."""
-        out: dict[str, list[int]] = {}
+        out: dict[str, tuple[int, ...]] = {}
         get, follows, length, longest, whole, known = self.by_symbols.get, self.follows, self.length, self.longest, self.built, self.pairs
         last: list[int] = [-1]
         before = ""
@@ -142,7 +143,7 @@ class TrieEncoder:
             while end:
                 ids.append(last[end])
                 end -= length[last[end]]
-            out[w] = ids[::-1]
+            out[w] = tuple(ids[::-1])
             before = w
         return out
 
@@ -172,16 +173,28 @@ class TrieEncoder:
         return [c for c in self.spaces.split(text) if c] if self.odd_space.search(text) else text.split()
 
     def learn(self, chunks: set[str]) -> None:
-        """Put (tokens, ids, decoded) of the chunks that are not there into the cache."""
-        new = [c for c in chunks if c not in self.cache]
-        if len(self.cache) + len(new) > self.cached:
-            self.cache.clear()
-            new = list(chunks)
-        split = {c: self.pieces(c) for c in new}
-        enc = self.words(list({p for ps in split.values() for p in ps if isinstance(p, str)}))
-        for c, ps in split.items():
+        """Put ids and decoded text of the chunks that are not there into the caches; full caches keep what these chunks use."""
+        if len(self.ids) + len(chunks) > self.cached:
+            used = chunks & self.ids.keys()
+            self.ids = {c: self.ids[c] for c in used}
+            self.decoded = {c: self.decoded[c] for c in used}
+        plain: dict[str, str] = {}  # a chunk of ASCII letters, the usual case, is one piece
+        mixed: dict[str, list[int | str]] = {}
+        for c in chunks - self.ids.keys():
+            if c.isascii() and c.isalpha():
+                low = c.lower()
+                plain[c] = low[:-1] + chr(ord(low[-1]) + END)
+            else:
+                mixed[c] = self.pieces(c)
+        enc = self.words(list({*plain.values(), *(p for ps in mixed.values() for p in ps if isinstance(p, str))}))
+        text = self.text.__getitem__
+        for c, p in plain.items():
+            self.ids[c] = " ".join(map(str, enc[p]))
+            self.decoded[c] = " ".join(map(text, enc[p]))
+        for c, ps in mixed.items():
             ids = [t for p in ps for t in ([p] if isinstance(p, int) else enc[p])]
-            self.cache[c] = (len(ids), " ".join(map(str, ids)), " ".join(self.text[t] for t in ids))
+            self.ids[c] = " ".join(map(str, ids))
+            self.decoded[c] = " ".join(map(text, ids))
 
     def encode(self, texts: list[str], group: int = 1 << 22):
         """(tokens, ids joined by a space, decoded text) of each text; texts are worked through in groups of bounded size."""
@@ -192,11 +205,11 @@ class TrieEncoder:
                 size += len(texts[end])
                 split.append(self.chunks(texts[end]))
                 end += 1
-            self.learn({c for cs in split for c in cs})
-            cache = self.cache
+            self.learn(set().union(*split))
+            ids_of, decoded_of = self.ids.__getitem__, self.decoded.__getitem__
             for cs in split:
-                rows = [cache[c] for c in cs]
-                yield sum(r[0] for r in rows), " ".join([r[1] for r in rows]), " ".join([r[2] for r in rows])
+                ids = " ".join(map(ids_of, cs))
+                yield ids.count(" ") + bool(ids), ids, " ".join(map(decoded_of, cs))
             at = end
 
 
