@@ -5,14 +5,15 @@ window's shingles (`shingle` consecutive words) are ordered by how rare they are
 whole window is asked for, so its necessary prefix is one token: a document that holds the window holds its rarest
 shingle. The passes:
 
-1. count the benchmark's shingles over all documents (partial counts per task, then summed);
-2. pick each window's rarest shingle with its offset, the prefix index;
-3. find prefix shingles in the documents and carry each with the `window` words around it;
+1. find the benchmark's shingles in all documents, once; each document keeps their places and the words around them,
+   neighbouring stretches as one, so a row is at most as long as its text and 16 bytes a place;
+2. count them (partial counts per task, then summed) and pick each window's rarest shingle with its offset, the prefix index;
+3. carry each prefix shingle found with the `window` words around it;
 4. join on the shingle, apply the positional and length bounds (the window must start and end inside the document at
    that offset), and compare the words exactly.
 
-Both document passes test shingles against a Bloom filter of a fixed number of bits, the only thing sent to every task;
-beyond its capacity it lets more through, and the joins, which are exact and shuffle both sides, sort it out.
+Both passes test shingles against a Bloom filter of a fixed number of bits, the only thing sent to every task; beyond
+its capacity it lets more through, and the joins, which are exact and shuffle both sides, sort it out.
 
 Defined results: null or wordless texts have no words and hit nothing; null or wordless items have no windows; an item
 whose words another item repeats is counted by its own id; repeated documents each get their row.
@@ -21,7 +22,6 @@ whose words another item repeats is counted by its own id; repeated documents ea
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +107,18 @@ def candidates_in(words: list[bytes], lengths: list[int], known: KnownWords, key
     return out
 
 
+def stretches_of(places: list[int], window: int, n: int) -> list[tuple[int, int]]:
+    """Disjoint stretches (from, to) of the words within `window` of the ascending places, in a text of n words."""
+    out: list[tuple[int, int]] = []
+    for at in places:
+        lo, hi = max(0, at - window + 1), min(n, at + window)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, bits: int = 1 << 23, percent: int = 5) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, n_items, item_ids (sorted strings), contaminated, one row per document row."""
     spark = docs.sparkSession
@@ -114,58 +126,76 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
     lengths = sorted(r[0] for r in wins.select(F.least("n", F.lit(shingle)).alias("g")).distinct().collect())  # at most `shingle` values
     texts = narrow(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
-    def filters(rows: DataFrame):
-        """Of the shingles' keys, and of the words in them."""
-        part = F.slice(F.split(F.col("words").cast("string"), " "), F.col("offset") + 1, F.least("n", F.lit(shingle)))
-        return spark.sparkContext.broadcast((gathered(rows.select("key").distinct(), bits), gathered(rows.select(F.explode(part).alias("w")).select(F.xxhash64("w")).distinct(), bits)))
+    def bloom(keys: DataFrame):
+        return gathered(keys.distinct(), bits)
 
-    known = filters(wins)
+    in_shingle = F.slice(F.split(F.col("words").cast("string"), " "), F.col("offset") + 1, F.least("n", F.lit(shingle)))
+    known = spark.sparkContext.broadcast((bloom(wins.select("key")), bloom(wins.select(F.explode(in_shingle).alias("w")).select(F.xxhash64("w")))))
 
-    def count():
+    def find():
         keys, words = map(filter_from, known.value)
         words = KnownWords(words)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            c: Counter = Counter()
+            sizes, at_, key_, ends = [], [], [], [0]
+            first_, words_, stretches = [], [], [0]
             for t in raw_texts(b):
-                c.update(k for _, k in candidates_in(words_of(t), lengths, words, keys))
-            found = pa.array(np.fromiter(c.keys(), np.uint64, len(c)).view(np.int64))
-            return pa.RecordBatch.from_arrays([found, pa.array(list(c.values()), pa.int64())], ["key", "n_docs"])
+                w = words_of(t)
+                sizes.append(len(w))
+                found = candidates_in(w, lengths, words, keys)
+                at_ += [at for at, _ in found]
+                key_ += [key for _, key in found]
+                for lo, hi in stretches_of(sorted({at for at, _ in found}), window, len(w)):
+                    first_.append(lo)
+                    words_.append(b" ".join(w[lo:hi]))
+                ends.append(len(at_))
+                stretches.append(len(first_))
+            places = pa.StructArray.from_arrays([pa.array(at_, pa.int64()), pa.array(np.array(key_, np.uint64).view(np.int64))], ["at", "key"])
+            parts = pa.StructArray.from_arrays([pa.array(first_, pa.int64()), pa.array(words_, pa.binary())], ["first", "words"])
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends, places), (stretches, parts))]
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), *lists], ["doc_id", "text_hash", "n_words", "places", "parts"])
 
         return step
 
-    seen = map_batches(texts.select("text"), count, "key long, n_docs long").groupBy("key").agg(F.sum("n_docs").alias("times"))
+    rows = cut_lineage(map_batches(texts, find, "doc_id long, text_hash long, n_words long, places array<struct<at:long,key:long>>, parts array<struct<first:long,words:binary>>"))
+    seen = rows.select(F.explode("places.key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     ranked = wins.join(seen, "key", "left").groupBy("window_id").agg(
         F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "key", "offset")).alias("rarest"), F.first("words").alias("words"), F.first("n").alias("n"),
         F.min(F.coalesce("times", F.lit(0))).alias("times"))
     # a window with a shingle that no document holds is in no document
     prefix = cut_lineage(ranked.where("times > 0").select("window_id", "words", "n", F.col("rarest.key").alias("key"), F.col("rarest.offset").alias("offset")))
-    wanted = filters(prefix)
+    wanted = spark.sparkContext.broadcast(bloom(prefix.select("key")))
 
-    def find():
-        keys, words = map(filter_from, wanted.value)
-        words = KnownWords(words)
+    def carry():
+        keys = filter_from(wanted.value)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, ends, at_, key_, before_, around_ = [], [0], [], [], [], []
-            for t in raw_texts(b):
-                w = words_of(t)
-                sizes.append(len(w))
-                for at, key in candidates_in(w, lengths, words, keys):
-                    lo = max(0, at - window + 1)
-                    at_.append(at)
-                    key_.append(key)
-                    before_.append(at - lo)
-                    around_.append(b" ".join(w[lo : at + window]))
-                ends.append(len(at_))
-            found = pa.StructArray.from_arrays([pa.array(at_, pa.int64()), pa.array(np.array(key_, np.uint64).view(np.int64)), pa.array(before_, pa.int64()), pa.array(around_, pa.binary())], ["at", "key", "before", "around"])
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["doc_id", "text_hash", "n_words", "found"])
+            row, at_, key_, before_, around_ = [], [], [], [], []
+            for r, (places, parts) in enumerate(zip(b.column("places"), b.column("parts"), strict=True)):
+                at, key = (places.values.field(i).to_numpy() for i in (0, 1))
+                hit = keys.has(key.view(np.uint64))
+                at, key = at[hit], key[hit]
+                if len(at):
+                    first = parts.values.field(0).to_numpy()
+                    of = np.searchsorted(first, at, "right") - 1
+                    split: dict[int, list[bytes]] = {}
+                    for a, k, i in zip(at.tolist(), key.tolist(), of.tolist(), strict=True):
+                        if i not in split:
+                            split[i] = parts.values.field(1)[i].as_py().split(b" ")
+                        here = a - int(first[i])
+                        lo = max(0, here - window + 1)
+                        row.append(r)
+                        at_.append(a)
+                        key_.append(k)
+                        before_.append(here - lo)
+                        around_.append(b" ".join(split[i][lo : here + window]))
+            ids = [b.column(i).take(pa.array(row, pa.int64())) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*ids, pa.array(at_, pa.int64()), pa.array(key_, pa.int64()), pa.array(before_, pa.int64()), pa.array(around_, pa.binary())], ["doc_id", "text_hash", "at", "key", "before", "around"])
 
         return step
 
-    rows = cut_lineage(map_batches(texts, find, "doc_id long, text_hash long, n_words long, found array<struct<at:long,key:long,before:long,around:binary>>"))
-    # equal texts have equal results, so hits are worked out once per text and rows only look them up
-    found = rows.where("size(found) > 0").groupBy("doc_id", "text_hash").agg(F.first("found").alias("found")).select("doc_id", "text_hash", F.explode("found").alias("f")).select("doc_id", "text_hash", "f.*")
+    # repeated rows bring their hits again; the distinct spans and windows below drop them map-side
+    found = map_batches(rows.where("size(places) > 0"), carry, "doc_id long, text_hash long, at long, key long, before long, around binary")
     start = F.col("at") - F.col("offset")
     around = F.split(F.col("around").cast("string"), " ")
     inside = F.slice(around, (F.col("before") - F.col("offset") + 1).cast("int"), F.col("n"))
