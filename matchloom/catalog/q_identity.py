@@ -7,6 +7,7 @@ from matchloom.functions import vectors as V
 from matchloom.functions.common import count_if, r4 as c4
 from matchloom.operators import colours as CO, identity as I
 from matchloom.operators.motion import rounded
+from matchloom.plans import inverted as IV
 from matchloom.plans.knn import assign_greedy, chain_roots, top_k
 from matchloom.plans.ordered import number_rows
 
@@ -32,6 +33,14 @@ def _(t):
     return d.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), c4(F.col("sim")).alias("sim"))
 
 
+@query("vs_topk_indexed")
+def _(t):
+    index = IV.build(t.vectors, lists=32)
+    queries = I.as_queries(t.vectors)
+    d = IV.search(index, queries, 5, IV.probes_for(index, queries, 5))
+    return d.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), c4(F.col("sim")).alias("sim"))
+
+
 @query("vs_match", f"WITH {SCORES(64, 8, 3)}, {DECIDE} SELECT query_id, player_id, {r4('score')} AS score, {r4('least(1e0, (score - second) * 4)')} AS confidence FROM de WHERE r = 1 AND score >= 0.1e0")
 def _(t):
     return rounded(I.match(I.as_queries(t.vectors), t.vectors, accept=0.1), "score", "confidence").drop("second")
