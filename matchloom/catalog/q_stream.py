@@ -94,19 +94,25 @@ def _(t):
     return done(L.run_available(L.goal_windows(goals, frames), "append"))
 
 
-@query("st_absence")
+@query("st_absence", """WITH s AS (SELECT match_id, player_id, frame_n * 40 AS ms, lead(frame_n * 40) OVER (PARTITION BY match_id, player_id ORDER BY frame_n) AS next FROM tracks)
+  SELECT match_id, player_id, ms AS last_seen_ms FROM s WHERE next - ms >= 5000 OR next IS NULL AND ms + 5000 < (SELECT max(frame_n) * 40 - 1000 FROM tracks)""")
 def _(t):
-    ts = F.timestamp_millis(F.col("frame_n") * 40)
+    ts = F.timestamp_millis(F.col("frame_n") * 40 + 1000)  # a row at instant 0 would be late: the first watermark is 0
     rows = staged(t, t.tracks.select("match_id", "player_id", "frame_n", ts.alias("ts")), "frame_n")
-    return done(L.run_available(L.absence(rows, ["match_id", "player_id"], 5.0, "match_id bigint, player_id bigint, last_seen_ms bigint"), "append"))
+    d = done(L.run_available(L.absence(rows, ["match_id", "player_id"], 5.0, "match_id bigint, player_id bigint, last_seen_ms bigint"), "append"))
+    return d.withColumn("last_seen_ms", F.col("last_seen_ms") - 1000)
 
 
-@query("st_ttl")
+@query("st_ttl", """WITH r AS (SELECT track_id, CAST(raw_text AS BIGINT) AS number, conf_pct, frame_n FROM jersey_reads
+   WHERE CASE WHEN regexp_full_match(raw_text, '[0-9]{1,2}') THEN CAST(raw_text AS BIGINT) BETWEEN 1 AND 99 ELSE false END AND conf_pct >= 55),
+  g AS (SELECT *, CASE WHEN frame_n - lag(frame_n) OVER (PARTITION BY track_id, number ORDER BY frame_n) > 600 THEN 1 ELSE 0 END AS pause FROM r),
+  i AS (SELECT *, sum(pause) OVER (PARTITION BY track_id, number ORDER BY frame_n) AS stay FROM g)
+  SELECT track_id, number, CAST(sum(conf_pct) AS BIGINT) AS votes FROM i i WHERE stay = (SELECT max(stay) FROM i j WHERE j.track_id = i.track_id AND j.number = i.number) GROUP BY ALL""")
 def _(t):
     from matchloom.functions.text import jersey_number
 
     r = t.jersey_reads.withColumn("number", jersey_number(F.col("raw_text"), F.col("conf_pct") / 100.0)).filter("number is not null")
-    r = r.select("track_id", "number", "conf_pct", "frame_n", F.timestamp_millis(F.col("frame_n") * 1000).alias("ts"))
+    r = r.select("track_id", "number", "conf_pct", "frame_n", F.timestamp_millis(F.col("frame_n") * 1000 + 1000).alias("ts"))
     return L.newest_rows(L.run_available(L.votes_with_ttl(staged(t, r, "frame_n"), 600), "update"), ["track_id", "number"])
 
 

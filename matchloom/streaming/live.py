@@ -79,8 +79,17 @@ def possession(holders: DataFrame, need: int = 6) -> DataFrame:
         step, "match_id bigint, frame_n bigint, team string, player_id bigint, from_team string", "run string, n bigint, held string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _in_order(pdfs: Iterator[pd.DataFrame], at: str = "ms") -> pd.DataFrame:
+    """One key's rows of a batch by time; as many as the files of one trigger hold."""
+    return pd.concat(list(pdfs)).sort_values(at, kind="stable")
+
+
 def absence(rows: DataFrame, keys: list[str], gap_s: float, schema: str, late: str = "1 seconds") -> DataFrame:
-    """Alert once when a key is unseen for ``gap_s`` seconds, by event-time timer or at its return."""
+    """Alert once when a key is unseen for ``gap_s`` seconds, by event-time timer or at its return.
+
+    The state is one number a key and leaves with the alert. Rows later than ``late`` behind the newest of earlier batches are
+    dropped; the alerts do not depend on how rows fall into batches.
+    """
     ms = int(gap_s * 1000)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -90,14 +99,12 @@ def absence(rows: DataFrame, keys: list[str], gap_s: float, schema: str, late: s
             state.remove()
         else:
             last = state.get[0] if state.exists else None
-            for p in pdfs:
-                for t in sorted(p.ms.tolist()):
-                    if last is not None and t - last >= ms:
-                        out.append(last)
-                    last = max(t, last or t)
+            for t in _in_order(pdfs).ms.tolist():
+                if last is not None and t - last >= ms:
+                    out.append(last)
+                last = t if last is None else max(t, last)
             state.update((last,))
-            due = last + ms
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(last + ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(keys, key)}, "last_seen_ms": out})
 
     d = rows.withWatermark("ts", late).select(*keys, "ts", F.unix_millis("ts").alias("ms"))
@@ -105,20 +112,30 @@ def absence(rows: DataFrame, keys: list[str], gap_s: float, schema: str, late: s
 
 
 def votes_with_ttl(reads: DataFrame, ttl_s: int, late: str = "1 seconds") -> DataFrame:
-    """Vote sums per (track, number) that are forgotten after ``ttl_s`` seconds without a read."""
+    """Vote sums per (track, number) that are forgotten once over ``ttl_s`` seconds of event time pass without a read.
+
+    A read after such a pause starts again from nothing, whether or not the timer has already taken the state away, so the sums do
+    not depend on how reads fall into batches. Rows later than ``late`` behind the newest of earlier batches are dropped.
+    """
+    ms = ttl_s * 1000
+
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame({"track_id": [], "number": [], "votes": []})
             return
-        total = (state.get[0] if state.exists else 0) + sum(int(p.conf_pct.sum()) for p in pdfs)
-        state.update((total,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + ttl_s * 1000)
+        total, last = state.get if state.exists else (0, None)
+        rows = _in_order(pdfs)
+        for t, conf in zip(rows.ms.tolist(), rows.conf_pct.tolist(), strict=True):
+            total = conf + (0 if last is not None and t - last > ms else total)
+            last = t if last is None else max(t, last)
+        state.update((total, last))
+        state.setTimeoutTimestamp(max(last + ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"track_id": [key[0]], "number": [key[1]], "votes": [total]})
 
-    d = reads.withWatermark("ts", late)
+    d = reads.withWatermark("ts", late).select("track_id", "number", "ts", F.unix_millis("ts").alias("ms"), F.col("conf_pct").cast("bigint").alias("conf_pct"))
     return d.groupBy("track_id", "number").applyInPandasWithState(
-        step, "track_id bigint, number bigint, votes bigint", "total bigint", "update", GroupStateTimeout.EventTimeTimeout)
+        step, "track_id bigint, number bigint, votes bigint", "total bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def goal_windows(goals: DataFrame, frames: DataFrame, before: str = "4 seconds", after: str = "1500 milliseconds", late: str = "60 days") -> DataFrame:
