@@ -55,3 +55,10 @@ def test_small_arrow_batches(spark):
         assert got(chain(spark.createDataFrame(rows, "k string, f long, free long"), ["k"], "f", "free", 40)) == slow_chain(rows)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_keys_that_lie_across_all_input_tasks(spark):
+    """Rows of each key come from every task of the scan: no block may be walked in pieces."""
+    df = spark.range(2_000_000).select((F.col("id") % 2000).alias("k"), F.floor(F.col("id") / 2000).alias("f"))
+    out = debounce(df, ["k"], "f", 25)
+    assert out.where("f % 25 <> 0").isEmpty() and out.count() == 2000 * 40
