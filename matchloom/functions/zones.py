@@ -76,10 +76,14 @@ def is_goal_line(x: Column, y: Column, tolerance: float = 0.0) -> Column:
     return y.between(GOAL_Y1, GOAL_Y2) & ((x <= tolerance) | (x >= P.COURT_W - tolerance))
 
 
-def in_goal_area(x: Column, y: Column, goal_x: Column, r: float = AREA_R) -> Column:
-    """Inside the 6 m area: the straight part or the quarter circle round a post."""
-    nearest_post = F.when(y < GOAL_Y1, F.lit(GOAL_Y1)).when(y > GOAL_Y2, F.lit(GOAL_Y2)).otherwise(y)
-    return dist(x, y, goal_x, nearest_post) <= r
+def in_goal_area(x: Column, y: Column, goal_x: Column, r: float = AREA_R, unit: float = 1.0) -> Column:
+    """Inside the 6 m area: the straight part or the quarter circle round a post; positions in ``unit`` ths of a metre.
+
+    Whole centimetres (``unit`` 100) decide rows on the line itself exactly, metres may round either way.
+    """
+    low, high = GOAL_Y1 * unit, GOAL_Y2 * unit
+    nearest_post = F.when(y < low, F.lit(low)).when(y > high, F.lit(high)).otherwise(y)
+    return dist(x, y, goal_x, nearest_post) <= r * unit
 
 
 def near_goal_6m(x: Column, y: Column, r: float = 6.5) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from matchloom import params as P
 from matchloom.functions import zones as Z
-from matchloom.functions.common import count_if, metres, sq_dist
+from matchloom.functions.common import count_if, sq_dist
 from matchloom.plans.folds import debounce
 
 
@@ -45,8 +45,8 @@ def too_many(tracks: DataFrame, limit: int = 7) -> DataFrame:
 
 def area_violation(tracks: DataFrame) -> DataFrame:
     """Attackers inside the goal area they attack."""
-    goal = F.when(F.col("team") == "team_a", F.lit(P.COURT_W)).otherwise(F.lit(0.0))
-    d = tracks.filter(Z.in_goal_area(metres(F.col("x_cm")), metres(F.col("y_cm")), goal))
+    goal = F.when(F.col("team") == "team_a", F.lit(P.COURT_W * 100)).otherwise(F.lit(0.0))
+    d = tracks.filter(Z.in_goal_area(F.col("x_cm"), F.col("y_cm"), goal, unit=100.0))
     return raised(d, ["match_id", "player_id"], 50)
 
 
@@ -94,8 +94,8 @@ def pivot_free(tracks: DataFrame, lines: DataFrame) -> DataFrame:
     """An attacker in the goal area without a defender within 1.5 m."""
     att = lines.select(*FRAME, F.col("team").alias("att"))
     d = tracks.select(*FRAME, "team", "player_id", "x_cm", "y_cm").join(att, FRAME)
-    goal = F.when(F.col("att") == "team_a", F.lit(P.COURT_W)).otherwise(F.lit(0.0))
-    inside = Z.in_goal_area(metres(F.col("x_cm")), metres(F.col("y_cm")), goal)
+    goal = F.when(F.col("att") == "team_a", F.lit(P.COURT_W * 100)).otherwise(F.lit(0.0))
+    inside = Z.in_goal_area(F.col("x_cm"), F.col("y_cm"), goal, unit=100.0)
     a = d.filter((F.col("team") == F.col("att")) & inside).alias("a")
     b = d.filter(F.col("team") != F.col("att")).alias("b")
     near = sq_dist(F.col("a.x_cm"), F.col("a.y_cm"), F.col("b.x_cm"), F.col("b.y_cm")) < 150 * 150
