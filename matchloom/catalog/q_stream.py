@@ -87,11 +87,12 @@ def _(t):
 @query("st_goal_wait", "SELECT g.match_id, event_id, b.frame_n FROM match_events g JOIN ball b ON b.match_id = g.match_id AND b.frame_n BETWEEN g.frame_n - 100 AND g.frame_n + 37 WHERE event_type = 'goal'")
 def _(t):
     def at(name):
-        return F.timestamp_millis(F.col("match_id") * 100_000_000 + F.col("frame_n") * 40).alias(name)
+        """The match's own clock: all matches run side by side, so one watermark is late for none of them."""
+        return F.timestamp_millis(F.col("frame_n") * 40 + 1000).alias(name)  # a row at instant 0 would be late: the first watermark is 0
 
-    goals = staged(t, t.match_events.filter("event_type = 'goal'").select("match_id", "event_id", at("goal_ts")), "event_id")
+    goals = staged(t, t.match_events.filter("event_type = 'goal'").select("match_id", "event_id", at("goal_ts"), "frame_n"), "frame_n").drop("frame_n")
     frames = staged(t, t.ball.select("match_id", "frame_n", at("frame_ts")), "frame_n")
-    return done(L.run_available(L.goal_windows(goals, frames), "append"))
+    return done(L.run_available(L.goal_windows(goals, frames, late="1 minutes"), "append"))
 
 
 @query("st_absence", """WITH s AS (SELECT match_id, player_id, frame_n * 40 AS ms, lead(frame_n * 40) OVER (PARTITION BY match_id, player_id ORDER BY frame_n) AS next FROM tracks)
