@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def fold_rows(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable, schema: str) -> DataFrame:
@@ -46,4 +46,5 @@ def fold_rows(df: DataFrame, keys: list[str], order: list[str], start: Callable[
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # By a hash of the keys: a repartition by the keys themselves is dropped after a join on them, whose shuffle may be read by mapper
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
