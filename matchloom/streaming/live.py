@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -111,31 +112,53 @@ def absence(rows: DataFrame, keys: list[str], gap_s: float, schema: str, late: s
     return d.groupBy(*keys).applyInPandasWithState(step, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def votes_with_ttl(reads: DataFrame, ttl_s: int, late: str = "1 seconds") -> DataFrame:
+#: Neighbouring track ids whose votes share one state.
+VOTE_TRACKS = 256
+#: Stands for a null key inside the arrays of a state.
+NO_KEY = -(1 << 63)
+
+
+def votes_with_ttl(reads: DataFrame, ttl_s: int, late: str = "1 seconds", tracks: int = VOTE_TRACKS) -> DataFrame:
     """Vote sums per (track, number) that are forgotten once over ``ttl_s`` seconds of event time pass without a read.
 
     A read after such a pause starts again from nothing, whether or not the timer has already taken the state away, so the sums do
     not depend on how reads fall into batches. Rows later than ``late`` behind the newest of earlier batches are dropped.
+    ``tracks`` neighbouring track ids share one state, a set of arrays, as a call of Python costs far more than a read. Its timer
+    runs for the oldest entry, and each call drops all entries whose pause is over.
     """
     ms = ttl_s * 1000
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = np.array(state.get if state.exists else [[]] * 4, np.int64)
+        new = np.empty((4, 0), np.int64) if state.hasTimedOut else pd.concat(list(pdfs))[["track_id", "number", "conf_pct", "ms"]].to_numpy(np.int64).T
+        rows, fresh = np.concatenate([held, new], 1), np.arange(held.shape[1] + new.shape[1]) >= held.shape[1]
+        order = np.lexsort((rows[3], fresh, rows[1], rows[0]))  # of each vote first what is held, then the reads by time
+        (track, number, votes, at), fresh = rows[:, order], fresh[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (track[1:] != track[:-1]) | (number[1:] != number[:-1])
+        start = np.flatnonzero(first)
+        end = np.append(start[1:], len(at)) - 1
+        seen = np.maximum(at, at[start][np.cumsum(first) - 1])
+        again = first.copy()
+        again[1:] |= at[1:] - seen[:-1] > ms
+        stays = np.flatnonzero(again)
+        total = np.add.reduceat(votes, stays)[np.searchsorted(stays, end, "right") - 1]
+        track, number, last, touched = track[start], number[start], seen[end], fresh[end]
+        mark = state.getCurrentWatermarkMs()
+        alive = last + ms >= mark
+        if alive.any():
+            state.update(tuple(x[alive].tolist() for x in (track, number, total, last)))
+            state.setTimeoutTimestamp(max(int(last[alive].min()) + ms, mark + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"track_id": [], "number": [], "votes": []})
-            return
-        total, last = state.get if state.exists else (0, None)
-        rows = _in_order(pdfs)
-        for t, conf in zip(rows.ms.tolist(), rows.conf_pct.tolist(), strict=True):
-            total = conf + (0 if last is not None and t - last > ms else total)
-            last = t if last is None else max(t, last)
-        state.update((total, last))
-        state.setTimeoutTimestamp(max(last + ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"track_id": [key[0]], "number": [key[1]], "votes": [total]})
-
-    d = reads.withWatermark("ts", late).select("track_id", "number", "ts", F.unix_millis("ts").alias("ms"), F.col("conf_pct").cast("bigint").alias("conf_pct"))
-    return d.groupBy("track_id", "number").applyInPandasWithState(
-        step, "track_id bigint, number bigint, votes bigint", "total bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+        yield pd.DataFrame({"track_id": track[touched], "number": number[touched], "votes": total[touched]})
+
+    d = reads.withWatermark("ts", late).select(
+        *[F.coalesce(F.col(c).cast("bigint"), F.lit(NO_KEY)).alias(c) for c in ("track_id", "number")], "ts", F.unix_millis("ts").alias("ms"), F.coalesce(F.col("conf_pct").cast("bigint"), F.lit(0)).alias("conf_pct"))
+    near = d.withColumn("near", F.floor(F.col("track_id") / tracks)).groupBy("near")
+    schema, held = "track_id bigint, number bigint, votes bigint", "track_id array<bigint>, number array<bigint>, total array<bigint>, last array<bigint>"
+    votes = near.applyInPandasWithState(step, schema, held, "update", GroupStateTimeout.EventTimeTimeout)
+    return votes.select(*[F.nullif(F.col(c), F.lit(NO_KEY)).alias(c) for c in ("track_id", "number")], "votes")
 
 
 def goal_windows(goals: DataFrame, frames: DataFrame, before: str = "4 seconds", after: str = "1500 milliseconds", late: str = "60 days") -> DataFrame:
