@@ -58,13 +58,12 @@ class Body:
 
     def throwing_arm(self) -> Column:
         """struct<wrist_y, angle> of the fully visible arm with the higher wrist, null without one."""
-        arms = []
+        # plain conditions: array functions over the two arms are not compiled
+        shown, arms = [], []
         for sh, el, wr in ((L_SH, L_EL, L_WR), (R_SH, R_EL, R_WR)):
             a = angle_at(self.x(sh), self.y(sh), self.x(el), self.y(el), self.x(wr), self.y(wr))
-            arms.append(
-                F.when(
-                    self.seen(sh) & self.seen(el) & self.seen(wr),
-                    F.struct(self.y(wr).alias("wrist_y"), F.lit(len(arms)).alias("side"), a.alias("angle")),
-                )
-            )
-        return F.array_min(F.array_compact(F.array(*arms)))
+            shown.append(F.coalesce(self.seen(sh) & self.seen(el) & self.seen(wr), F.lit(False)))
+            arms.append(F.struct(self.y(wr).alias("wrist_y"), F.lit(len(arms)).alias("side"), a.alias("angle")))
+        left, right = self.y(L_WR), self.y(R_WR)
+        higher = left.isNull() | F.coalesce(left <= right, F.lit(False))
+        return F.when(shown[0] & (~shown[1] | higher), arms[0]).when(shown[1], arms[1])
