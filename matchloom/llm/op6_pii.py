@@ -8,8 +8,9 @@ are no chance: their probability for independent e and t (Chernoff's bound), tim
 `significance`. One common document is enough only where few pairs are judged. `sanitise` removes a term if it gives e away fully
 and writes a general mark otherwise.
 
-Passes: find spans and the terms of their documents; count the documents of candidate terms; find the disclosing terms. Only fixed-size
-filters of terms are sent to every task; the exact joins shuffle both sides.
+Passes: find spans and the terms of their documents; count the documents of candidate terms; find the disclosing terms. Candidates are the
+terms that could still pass if only the documents with entities held them, which spares the common words and changes no result. Only
+fixed-size filters of terms are sent to every task; the exact joins shuffle both sides.
 
 Defined results: null and empty texts hold nothing; repeated rows each get their row; texts repeated word for word (copies) count as
 one document.
@@ -97,24 +98,29 @@ def text_key() -> Column:
 
 
 def company(docs: DataFrame) -> DataFrame:
-    """(doc, entity, terms) of every row with base spans: each entity with the terms of its text; copies have one doc."""
+    """(doc, entities, terms, cut) of every row with base spans: its entities and terms; copies have one doc.
+
+    Terms in `cut` are what a span leaves of a longer word, so the text need not hold them as words.
+    """
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            doc, ent, terms = [], [], []
+            doc, ent, terms, cut = [], [], [], []
             for key, t in zip(b.column(0).to_pylist(), str_texts(b), strict=True):
                 own = base_spans(t)
                 if own:
                     doc.append(key)
                     ent.append(signed({entity_of(k, t[s:e]) for k, s, e in own}))
-                    terms.append(signed({term_of(x) for x in terms_outside(t, own)}))
+                    outside, held = terms_outside(t, own), set(WORD.findall(t))
+                    terms.append(signed({term_of(x) for x in outside}))
+                    cut.append(signed({term_of(x) for x in outside - held}))
             kind = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ent, kind), pa.array(terms, kind)], ["doc", "entities", "terms"])
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *[pa.array(x, kind) for x in (ent, terms, cut)]], ["doc", "entities", "terms", "cut"])
 
         return step
 
     rows = narrow(docs, "text").select(text_key().alias("doc"), "text")
-    return map_batches(rows, make, "doc long, entities array<long>, terms array<long>").dropDuplicates(["doc"])
+    return map_batches(rows, make, "doc long, entities array<long>, terms array<long>, cut array<long>").dropDuplicates(["doc"])
 
 
 def terms_outside(text: str, own: list[tuple[str, int, int]]) -> set[str]:
@@ -185,12 +191,21 @@ def disclosing(docs: DataFrame, disclosure: float = 0.95, significance: float =
     n, judged = max(1, docs.select(text_key().alias("doc")).distinct().count()), pairs.count()
     if judged >= significance * n:  # one common document has a probability of 1 / n at least
         pairs = pairs.where("together > 1")
-    terms = counts_of(docs, pairs.select("term").distinct(), bits)
-    both = pairs.join(entities, "entity").join(terms, "term")
+    both = pairs.join(entities, "entity")
     ic = -F.log2(F.col("entity_docs") / F.lit(float(n)))
-    pmi = F.log2(F.col("together") * F.lit(float(n)) / (F.col("entity_docs") * F.col("docs")))
-    sure = F.greatest(surprise("together", "entity_docs", "docs", n), surprise("together", "docs", "entity_docs", n))
-    both = both.where((ic > 0) & (pmi >= disclosure * ic) & (sure >= float(np.log(max(1, judged) / significance))))
+
+    def over(of: str) -> Column:
+        """Whether a term in `of` documents is over the threshold; the fewer documents, the likelier."""
+        pmi = F.log2(F.col("together") * F.lit(float(n)) / (F.col("entity_docs") * F.col(of)))
+        sure = F.greatest(surprise("together", "entity_docs", of, n), surprise("together", of, "entity_docs", n))
+        return (ic > 0) & (pmi >= disclosure * ic) & (sure >= float(np.log(max(1, judged) / significance)))
+
+    # a term is in no fewer documents than those with entities that hold it; only terms that could pass so are counted
+    least = seen.select(F.explode(F.array_except("terms", "cut")).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    both = both.join(least, "term", "left").withColumn("least", F.coalesce("least", F.lit(1)))
+    both = cut_lineage(both.where(over("least")).drop("least"))
+    terms = counts_of(docs, both.select("term").distinct(), bits)
+    both = both.join(terms, "term").where(over("docs"))
     return cut_lineage(both.groupBy("term").agg(F.max(F.col("together") >= F.col("docs")).alias("full")))
 
 

@@ -75,3 +75,22 @@ def test_terms_far_from_an_entity_are_judged_by_the_documents_they_share(spark):
     got = {r.doc_id: r.all_spans for r in op.find(docs).collect()}
     assert all("term:0:7" in got[k] for k in range(3))  # 80 words away
     assert sum("term:" in x for x in got.values()) == 3  # one common document is no evidence
+
+
+def test_only_terms_that_can_pass_are_counted(spark, monkeypatch):
+    rng = random.Random(8)
+    fill = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows = [(10 * k + i, f"Quibble{k} {fill(80)} ann.lee{k}@corp.example {fill(9)}") for k in range(12) for i in range(3)]
+    rows += [(500, f"Quibble3 {fill(20)}"), *((1000 + k, fill(25)) for k in range(400))]
+    docs = spark.createDataFrame([(i, re.sub(r"Quibble(\d+)", lambda m: "Quibble" + "abcdefghijkl"[int(m[1])], t)) for i, t in rows], "doc_id long, text string")
+    counted, whole = [], op.counts_of
+
+    def spy(docs, terms, bits):
+        counted.append({r.term for r in terms.collect()})
+        return whole(docs, terms, bits)
+
+    monkeypatch.setattr(op, "counts_of", spy)
+    found = {r.term: r.full for r in op.disclosing(docs).collect()}
+    names = {op.signed([op.term_of("Quibble" + c)], 1)[0]: c for c in "abcdefghijkl"}
+    assert {names[t]: full for t, full in found.items()} == dict.fromkeys("abcefghijkl", True)  # d also stands without its address
+    assert counted == [set(names)]  # the common words beside every address are not
