@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from llm.conftest import WORDS
 
 import corpus_pipeline
@@ -72,3 +73,30 @@ def test_repeated_and_null_rows(docs, rows, no_docs):
     assert kept.columns == docs.columns
     assert kept.count() == len(set(slow_groups([t for _, t in rows])))
     assert op.keep_one(no_docs).count() == 0
+
+
+def test_a_common_line_moves_no_sets(spark, monkeypatch):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
+    line = prose(25)
+    texts = [line + " " + prose(95) for _ in range(50)] + [line + " " + (tail := prose(95)), line + " " + tail[:-3] + "new"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    moved, whole = [], op.passing
+    monkeypatch.setattr(op, "passing", lambda rows, keys, on: moved.append(keys.count()) or whole(rows, keys, on))
+    for how in ({}, {"crowd": 4, "common": 100}):
+        got = {r.doc_id: r.component_id for r in op.groups(docs, **how).collect()}
+        assert got == dict(enumerate(slow_groups(texts)))
+    assert moved == [2, 2]
+
+
+def test_fingerprints_of_pairs_at_the_similarity_pass():
+    rng = np.random.default_rng(4)
+    for n in (64, 90, 300):
+        apart = []
+        for _ in range(200):
+            s = rng.integers(0, 1 << 63, 10 * n // 9 + 1, np.uint64)
+            a, b = (np.array(op.fingerprint(x)).view(np.uint64) for x in (s[:n], s[-n:]))  # Jaccard 0.8
+            apart.append(int(np.bitwise_count(a ^ b).sum()))
+        assert 33 < np.mean(apart) < 43 and max(apart) <= op.most_apart(80) == 84
+        far = [np.array(op.fingerprint(rng.integers(0, 1 << 63, n, np.uint64))).view(np.uint64) for _ in range(2)]
+        assert np.bitwise_count(far[0] ^ far[1]).sum() > 84
