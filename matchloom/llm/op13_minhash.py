@@ -28,18 +28,22 @@ if no row of it has an id. Texts of any length are read whole; ties of pivots go
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from matchloom.llm.bloom import passing
-from matchloom.llm.common import HOT, cut_lineage, map_batches, narrow, raw_texts, skewed_join, star_components
+from matchloom.llm.common import HOT, cut_lineage, narrow, raw_texts, skewed_join, star_components
 from matchloom.llm.jaccard import SEED, lists, shingles
 
 PRODUCTION = {"words": 3, "percent": 85, "trees": 25, "depth": 5, "crowd": 32, "deepest": 30}
 #: Shingles hashed at once; bounds the memory of a task whatever the batch.
-SLICE = 1 << 20
+SLICE = 1 << 17
+#: Rows whose sets a task holds at once, and sends in one batch.
+ROWS = 500
 #: Standard deviations by which the signatures of a pair may agree less than its sets: a pair at the similarity falls below with 1e-9.
 SURE = 6.0
 
@@ -64,21 +68,22 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def signed_sets(docs: DataFrame, words: int, size: int) -> DataFrame:
-    """(rid, doc_id, node, n, sig, shingles) of every row; rid numbers the rows, node is the hash of the set, null if it is empty."""
-
-    def make():
-        def step(b: pa.RecordBatch) -> pa.RecordBatch:
+def signed_batches(batches: Iterable[pa.RecordBatch], words: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `signed_sets` for batches of (rid, doc_id, text), at most ROWS at once."""
+    for big in batches:
+        for at in range(0, big.num_rows, ROWS):
+            b = big.slice(at, ROWS)
             sets = [shingles(t, words) for t in raw_texts(b)]
             nodes = [int(np.uint64(xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) if len(s) else None for s in sets]
             sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * size, pa.int32()), pa.array(signatures(sets, size).ravel()))
             cols = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), sig, lists(sets)]
-            return pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "node", "n", "sig", "shingles"])
+            yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "node", "n", "sig", "shingles"])
 
-        return step
 
+def signed_sets(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """(rid, doc_id, node, n, sig, shingles) of every row; rid numbers the rows, node is the hash of the set, null if it is empty."""
     rows = narrow(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text")
-    return map_batches(rows, make, "rid long, doc_id long, node long, n long, sig array<int>, shingles array<long>")
+    return rows.mapInArrow(lambda batches: signed_batches(batches, words, size), "rid long, doc_id long, node long, n long, sig array<int>, shingles array<long>")
 
 
 def forest(nodes: DataFrame, trees: int, depth: int, crowd: int, deepest: int) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from llm.conftest import WORDS
 from llm.test_jaccard import near_copies
 
@@ -94,3 +95,14 @@ def test_sql_agrees(spark, rows, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(con.sql(op.SQL).fetchall(), key=repr) == got(queries.op13_minhash_near_dedup(spark, str(tmp_path))) == slow_groups(keep)
+
+
+def test_a_task_holds_few_sets_at_once():
+    texts = [f"word{k % 7} and {k} more words of text {k // 2}" if k % 50 else None for k in range(1201)]
+    big = pa.RecordBatch.from_pydict({"rid": list(range(1201)), "doc_id": list(range(1201)), "text": pa.array(texts, pa.string())})
+    out = list(op.signed_batches(iter([big, big.slice(3, 0)]), 3, 10))
+    assert [b.num_rows for b in out] == [500, 500, 201]
+    sets = [op.shingles((t or "").encode(), 3) for t in texts]
+    got = pa.Table.from_batches(out)
+    assert got.column("rid").to_pylist() == list(range(1201)) and got.column("n").to_pylist() == [len(s) for s in sets]
+    assert np.array_equal(np.array(got.column("sig").to_pylist()), op.signatures(sets, 10))
