@@ -11,11 +11,14 @@ Candidates, kept if their signatures agree nearly as they should (`SURE`) and co
 1. each set and the pivot with which it shares the most regions. A region's pivot is the member whose regions hold
    the most sets, which in a crowd around one text is that text. Components of these links come first;
 2. of what they leave apart, all pairs of small regions, and each set with the pivot of every crowded region it is in
-   at any depth. So a crowd costs as many candidates as it has members and is never paired up.
+   at any depth. So a crowd that its pivots hold together costs as many candidates as it has members;
+3. of crowds that are still in several components, every member outside the crowd's main component with all members, and all
+   those of the main component, in blocks of bounded size: first by signatures, then by the sets of those with a partner, of
+   which a block returns only links that connect components.
 
-A pair at a Jaccard similarity s shares no small region of any tree with probability (1 - s^depth)^trees, 4e-7 at 0.85 for
-25 trees of depth 5. Within a crowd two sets may be linked only over others (pivots and small deeper regions); there
-the search is not exact, the links it returns are. Sets, like shingles, are told apart by 64-bit hashes.
+So every pair that shares a region of any tree is settled. A pair at a Jaccard similarity s shares none with probability
+(1 - s^depth)^trees, 4e-7 at 0.85 for 25 trees of depth 5. Sets, like shingles, are told apart by 64-bit hashes. Step 3 is quadratic
+in the members outside, but no task holds more than two blocks.
 
 Scale: signatures and sets are written once; a region's size is joined back with hot regions broadcast (at most `HOT` a
 tree), copies of one text are one node from the start, and whole sets move only for sets that are candidates (a filter of fixed
@@ -46,6 +49,10 @@ SLICE = 1 << 17
 ROWS = 500
 #: Standard deviations by which the signatures of a pair may agree less than its sets: a pair at the similarity falls below with 1e-9.
 SURE = 6.0
+#: A signature cut to a byte a coordinate.
+BYTES = "transform(sig, x -> CAST(x % 256 - 128 AS TINYINT))"
+#: Shingles of a block of a crowd's sets; a set counts as LIGHT at least, which bounds the sets of a block.
+BLOCK, LIGHT = 1 << 19, 256
 
 
 def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
@@ -107,7 +114,7 @@ def forest(nodes: DataFrame, trees: int, depth: int, crowd: int, deepest: int) -
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures, cut to a byte a coordinate, agree well enough for the similarity."""
-    small = sets.select("node", F.size("sig").alias("size"), F.expr("transform(sig, x -> CAST(x % 256 - 128 AS TINYINT))").alias("sig"))
+    small = sets.select("node", F.size("sig").alias("size"), F.expr(BYTES).alias("sig"))
     a, b = small.select(F.col("node").alias("a"), "size", F.col("sig").alias("ga")), small.select(F.col("node").alias("b"), F.col("sig").alias("gb"))
     agree = F.expr("aggregate(zip_with(ga, gb, (x, y) -> IF(x = y, 1, 0)), 0, (n, x) -> n + x)")
     s = percent / 100
@@ -123,6 +130,86 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
+def agreeing(sig: np.ndarray, n: np.ndarray, root: np.ndarray, outside: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have another of a different root, one of the two outside, that sizes and signatures (rows of bytes) do not rule out."""
+    out, s, size = np.zeros(len(n), bool), percent / 100, sig.shape[1]
+    least = size * s - SURE * (size * s * (1 - s)) ** 0.5
+    for i in np.flatnonzero(outside):
+        may = (root != root[i]) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
+        at = np.flatnonzero(may)
+        at = at[(sig[at] == sig[i]).sum(1) >= least]
+        out[at] = True
+        out[i] |= len(at) > 0
+    return out
+
+
+def crossing(nodes: np.ndarray, root: np.ndarray, outside: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what the pairs of different roots, one of the two outside, at `percent` or more connect; shared shingles are counted."""
+    size = np.array([len(s) for s in sets])
+    start = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(start, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), size)[order]
+    first = np.searchsorted(start[order], np.arange(start.max() + 2))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    group = np.unique(root, return_inverse=True)[1]
+    up, out = list(range(int(group.max()) + 1)), []
+
+    def find(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i in np.flatnonzero(outside):
+        both = np.zeros(len(sets), np.int64)
+        for k in start[ends[i] : ends[i + 1]]:
+            both[holders[first[k] : first[k + 1]]] += 1  # a set holds a shingle once
+        for j in np.flatnonzero((both * (100 + percent) >= percent * (size + size[i])) & (root != root[i])):
+            a, b = find(int(group[i])), find(int(group[j]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def crowd_links(regions: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
+    """The links that crowds (`regions`, of one depth) still lack between the components `roots`; every pair of a crowd is settled.
+
+    A crowd's main component is the largest one it holds. Comparison is by main component, not by region, as one crowd is a region of many trees.
+    """
+    rooted = cut_lineage(regions.select("tree", "key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    weight = rooted.groupBy("root").agg(F.count("*").alias("w"))
+    held = cut_lineage(rooted.groupBy("tree", "key", "root").agg(F.count("*").alias("_c")).drop("_c").join(weight, "root"))
+    mains = held.groupBy("tree", "key").agg(F.max(F.struct("w", (-F.col("root")).alias("minus"), "root"))["root"].alias("main"), F.count("*").alias("parts"))
+    mains = cut_lineage(mains.where("parts > 1").select("tree", "key", "main"))
+    if mains.isEmpty():
+        return roots.where("false").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    members = skewed_join(rooted, mains, ["tree", "key"], hot.join(mains, ["tree", "key"], "left_semi"))
+    members = cut_lineage(members.select("main", "node", "n", "root", (F.col("root") != F.col("main")).alias("outside")).distinct())
+    heavy, all_ = F.greatest("n", F.lit(LIGHT)), members.count()
+    blocks = members.groupBy("main").agg(F.count("*").alias("c"), *[F.ceil(F.sum(F.when(F.col("outside") == x, heavy).otherwise(0)) / BLOCK).cast("long").alias(c) for c, x in (("bo", True), ("bm", False))])
+    dealt = skewed_join(members, blocks, ["main"], blocks.where(F.col("c") * HOT > all_))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("bo")).otherwise(F.col("bm"))))
+    # blocks of members outside come first in the numbering, those of the main component after them
+    own, other = F.when(F.col("outside"), F.col("own")).otherwise(F.col("bo") + F.col("own")), F.col("other")
+    dealt = dealt.withColumn("at", own).withColumn("other", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("bo") + F.col("bm") - 1)).otherwise(F.sequence(F.lit(0), F.col("bo") - 1))))
+    dealt = dealt.select("main", F.least("at", other).alias("i"), F.greatest("at", other).alias("j"), "node", "n", "root", "outside")
+    by, kept = ["main", "i", "j"], "main long, i long, j long, node long, n long, root long, outside boolean"
+
+    def close(group: pa.Table) -> pa.Table:
+        sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        n, root, outside = (group.column(c).to_numpy() for c in ("n", "root", "outside"))
+        return group.drop_columns(["sig"]).filter(pa.array(agreeing(sig, n, root, outside, percent)))
+
+    def counted(group: pa.Table) -> pa.Table:
+        full = [np.asarray(s.values.to_numpy()) for s in group.column("shingles")]
+        found = crossing(*(group.column(c).to_numpy() for c in ("node", "root", "outside")), full, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    short = sets.select("node", F.expr(BYTES).alias("sig"))
+    dealt = cut_lineage(dealt.join(short, "node").select(*by, "node", "n", "root", "outside", "sig").groupBy(*by).applyInArrow(close, kept))
+    return dealt.join(sets.select("node", "shingles"), "node").groupBy(*by).applyInArrow(counted, "a long, b long")
+
+
 def links(written: DataFrame, percent: int = 85, trees: int = 25, depth: int = 5, crowd: int = 32, deepest: int = 30) -> DataFrame:
     """Links (a, b) between nodes; `written` is the table of `signed_sets`, read several times."""
     first = cut_lineage(written.where("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("rid")))
@@ -149,7 +236,11 @@ def links(written: DataFrame, percent: int = 85, trees: int = 25, depth: int = 5
     far = stars.where("crowded = 1").join(roots.select("node", F.col("root").alias("ra")), "node", "left").join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("rb")), "pivot", "left")
     far = far.where(F.coalesce("ra", "node") != F.coalesce("rb", "pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     rest = cut_lineage(alike(pairs.unionByName(far).distinct(), sets, percent))
-    return one.unionByName(confirmed(rest, sets, percent))
+    found = cut_lineage(one.unionByName(confirmed(rest, sets, percent)))
+    crowds = regions.where((F.col("d") == depth) & (F.col("size") > crowd))
+    if crowds.isEmpty():
+        return found
+    return found.unionByName(crowd_links(crowds, sets, star_components(found), percent, hot.where(F.col("d") == depth).select("tree", "key")))
 
 
 def groups(docs: DataFrame, words: int = 3, percent: int = 85, trees: int = 25, depth: int = 5, crowd: int = 32, deepest: int = 30) -> DataFrame:

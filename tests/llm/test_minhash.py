@@ -106,3 +106,35 @@ def test_a_task_holds_few_sets_at_once():
     got = pa.Table.from_batches(out)
     assert got.column("rid").to_pylist() == list(range(1201)) and got.column("n").to_pylist() == [len(s) for s in sets]
     assert np.array_equal(np.array(got.column("sig").to_pylist()), op.signatures(sets, 10))
+
+
+def windows(n):
+    """Windows that slide along one text: only neighbours reach 0.85, so no pivot holds the crowd together; and some texts apart."""
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) + str(rng.randrange(9000)) for _ in range(7 * n + 200)]
+    return [" ".join(base[k : k + 200]) for k in range(0, 7 * n, 7)] + [" ".join(base[k : k + 60]) for k in (3, 90)]
+
+
+def test_crowds_without_a_common_text_are_settled_pair_by_pair(spark):
+    rows = list(enumerate(windows(24)))
+    assert got(op.groups(spark.createDataFrame(rows, "doc_id long, text string"), crowd=2, trees=12, depth=1, deepest=1)) == slow_groups(rows)
+
+
+def test_blocks_of_a_crowd_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 3000)
+    texts = windows(90)
+    sets = [op.shingles(t.encode(), 3) for t in texts]
+    sig = op.signatures(sets, 125)
+    table = [(k, len(s), x.tolist(), s.view(np.int64).tolist()) for k, (s, x) in enumerate(zip(sets, sig, strict=True))]
+    table = spark.createDataFrame(table, "node long, n long, sig array<int>, shingles array<long>")
+    regions = spark.createDataFrame([(t, 5, k, len(s)) for t in (0, 1) for k, s in enumerate(sets)], "tree int, key long, node long, n long")
+    roots = spark.createDataFrame([(k, 0) for k in range(30)], "node long, root long")  # what is linked already
+    found = op.crowd_links(regions, table, roots, 85, regions.select("tree", "key").distinct()).collect()
+    assert len(found) < 400  # only links that connect
+    whole = {d: c for d, _, c, _ in slow_groups(list(enumerate(texts)))}
+    assert all(whole[a] == whole[b] for a, b in found)
+    root = [0 if k < 30 else k for k in range(len(texts))]
+    for _ in texts:
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    assert dict(enumerate(root)) == whole
