@@ -141,6 +141,35 @@ def test_shots_equal_a_walk_through_every_frame(spark):
     assert rows(X.shots(df), "match_id", "frame_n", "team", "shooter_id", "end_frame", "outcome", "keeper_id") == sorted(want, key=lambda w: w[:2])
 
 
+def test_shots_without_a_goal_box_end_at_the_edge_strip(spark):
+    """No box: two checks in the strip are a goal at mid height and a miss elsewhere; too fast rows are no checks."""
+    def row(m, f, x, y=360, speed=20.0, box=None, edge=None, near=None):
+        return (m, f, x, y, speed, 5, near, near and "team_b", near and 1200, "team_a", box, edge)
+
+    def walk(m, y, fast=20.0):
+        return [row(m, 0, 900, y, 30.0), row(m, 1, 1255, y, fast, edge="right"), row(m, 2, 1260, y, edge="right"), row(m, 3, 1262, y, edge="right"), row(m, 200, 600, y, 1.0)]
+
+    data = walk(1, 360) + walk(2, 100) + walk(3, 360, 95.0) + [row(4, 0, 900, speed=30.0), row(4, 1, 1200, speed=99.0, near=7), row(4, 2, 1200, speed=None, near=8), row(4, 3, 1200, near=9), row(4, 200, 600, speed=1.0)]
+    df = spark.createDataFrame(data, FRAMES + ", at_edge string")
+    assert rows(X.shots(df, edges=True), "match_id", "end_frame", "outcome", "keeper_id") == [(1, 2, "goal", None), (2, 2, "missed", None), (3, 3, "goal", None), (4, 3, "save", 9)]
+
+
+def test_resolved_shots_equal_their_sql_where_goal_boxes_are_missing(spark, tmp_path):
+    import duckdb
+
+    from matchloom import catalog
+
+    src, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("orders",):  # a match without its first frame has no goal boxes
+        con.execute(f"COPY (SELECT * FROM '{src}/{t}.parquet' WHERE o_orderkey % 1000 > 0 OR o_orderkey % 3000 = 0) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    got = catalog.queries()["wn_shot_resolve"](spark, str(tmp_path))
+    res = con.execute(catalog.oracle_sql()["wn_shot_resolve"])
+    names = [d[0] for d in res.description]
+    want = sorted(res.fetchall(), key=repr)
+    assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == want and len(want) > 50
+
+
 def test_keeper_shots_equal_a_walk_through_every_frame(spark):
     data = random_frames(random.Random(6))
     want = []
