@@ -5,7 +5,7 @@ Key points are three aligned arrays (x, y, confidence percent) of 17 entries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from matchloom.functions.geometry import angle_at
 
@@ -19,6 +19,17 @@ SEGMENT_WEIGHTS = {
 }
 
 
+def seen_points(poses: DataFrame, cols: list[str], xs=(), ys=(), min_conf: int = 30) -> DataFrame:
+    """``cols`` and the named points where they are seen, as plain columns x<i> and y<i> (null otherwise).
+
+    A row that is joined or ordered then carries the few numbers that are asked for, not three arrays of 17.
+    """
+    def at(axis, i):
+        return F.when(F.get("kc", F.lit(i)) >= min_conf, F.get(f"k{axis}", F.lit(i))).alias(f"{axis}{i}")
+
+    return poses.select(*cols, *[at("x", i) for i in xs], *[at("y", i) for i in ys])
+
+
 class Body:
     """Column view of one row's key points with a visibility threshold."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from matchloom import params as P
 from matchloom.functions.common import count_if, dist, r1, sq_dist
 from matchloom.functions.geometry import point_segment
+from matchloom.functions.pose import L_WR, R_WR, seen_points
 from matchloom.operators.calibrate import opponent
 from matchloom.plans.ranges import interval_join
 from matchloom.plans.ordered import scan
@@ -307,11 +308,10 @@ def keeper_guess(tracks: DataFrame) -> DataFrame:
 
 def shooter_guess(poses: DataFrame, ball: DataFrame, reach: float = 250.0, wrist_conf: int = 30) -> DataFrame:
     """Nearest player by box centre or confident wrist, within reach of the ball."""
-    d = poses.join(ball.filter("bpx is not null").select(*FRAME, "bpx", "bpy"), FRAME)
+    p = seen_points(poses, [*FRAME, "player_id", "px", "py", "h_px"], (L_WR, R_WR), (L_WR, R_WR), wrist_conf)
+    d = p.join(ball.filter("bpx is not null").select(*FRAME, "bpx", "bpy"), FRAME)
     cands = [sq_dist(F.col("px") * 1.0, F.col("py") - F.col("h_px") / 2.0, F.col("bpx"), F.col("bpy"))]
-    for i in (9, 10):
-        at = sq_dist(F.get("kx", F.lit(i)), F.get("ky", F.lit(i)), F.col("bpx"), F.col("bpy")).cast("double")
-        cands.append(F.when(F.get("kc", F.lit(i)) >= wrist_conf, at))
+    cands += [sq_dist(F.col(f"x{i}"), F.col(f"y{i}"), F.col("bpx"), F.col("bpy")).cast("double") for i in (L_WR, R_WR)]
     d = d.withColumn("d2", F.least(*cands)).filter(F.col("d2") < reach * reach)
     return d.groupBy(*FRAME).agg(F.min(F.struct("d2", "player_id")).alias("m")).select(*FRAME, F.col("m.player_id").alias("shooter_id"), F.col("m.d2").alias("d2"))
 
