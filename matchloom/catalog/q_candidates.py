@@ -60,7 +60,7 @@ def _(t):
     c = t.candidates.withColumn("conf", F.col("conf_pct") / 100.0).withColumn("colour", F.col("colour_pct") / 100.0).withColumn(
         "skin", (F.col("colour_pct") * 7 + F.col("cx")) % 100 / 100.0)
     last = t.ball.select("match_id", (F.col("frame_n") + 1).alias("frame_n"), F.col("bpx").alias("lx"), F.col("bpy").alias("ly"))
-    return rounded(C.pick_ball(c, C.hand_flags(t.candidates, t.poses), last), "score")
+    return rounded(C.pick_ball(c, t.poses, last), "score")
 
 
 _i = "greatest(0e0, least(a.px + a.h_px * 0.25e0, d.px + 5 + d.h_px * 0.25e0) - greatest(a.px - a.h_px * 0.25e0, d.px + 5 - d.h_px * 0.25e0)) * greatest(0e0, least(a.py, d.py + 3) - greatest(a.py - a.h_px, d.py + 3 - d.h_px))"

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from matchloom.functions.common import dist, sq_dist
 from matchloom.functions.geometry import iou
+from matchloom.functions.pose import L_SH, L_WR, R_SH, R_WR, seen_points
 from matchloom.plans.ordered import halo, scan, segments
 from matchloom.plans.ranges import interval_join
 from matchloom.plans.stateful import fold_rows
@@ -81,22 +83,26 @@ def off_faces(cands: DataFrame, poses: DataFrame, reach: float = 30.0, min_conf:
     return c.join(p, on, "left_anti")
 
 
-def hand_flags(cands: DataFrame, poses: DataFrame, reach: float = 140.0, min_conf: int = 30) -> DataFrame:
-    """Per candidate: near a wrist, in a shoe band, above the nearest player's shoulders."""
-    d = cands.select(*CAND, "cx", "cy").join(poses.select(*FRAME, "player_id", "px", "py", "h_px", "kx", "ky", "kc"), FRAME, "left")
+def hand_flags(cands: DataFrame, poses: DataFrame, reach: float = 140.0, min_conf: int = 30, carry=()) -> DataFrame:
+    """Per candidate: near a wrist, in a shoe band, above the nearest player's shoulders; ``carry`` names columns to keep."""
+    body = seen_points(poses, [*FRAME, "player_id", "px", "py", "h_px"], (L_WR, R_WR), (L_SH, R_SH, L_WR, R_WR), min_conf)
+    d = cands.select(*CAND, *dict.fromkeys(["cx", "cy", *carry])).join(body, FRAME, "left")
     half = F.col("h_px") * 0.25
     x, y = F.col("cx"), F.col("cy")
     shoe = (x > F.col("px") - half) & (x < F.col("px") + half) & (y > F.col("py") - F.col("h_px") * 0.15)
     hand = F.lit(False)
-    for i in (9, 10):
-        hand = hand | ((F.get("kc", F.lit(i)) >= min_conf) & (sq_dist(x, y, F.get("kx", F.lit(i)), F.get("ky", F.lit(i))) < reach * reach))
-    tops = [F.when(F.get("kc", F.lit(i)) >= min_conf, F.get("ky", F.lit(i))) for i in (5, 6)]
+    for i in (L_WR, R_WR):
+        hand = hand | (sq_dist(x, y, F.col(f"x{i}"), F.col(f"y{i}")) < reach * reach)
+    tops = [F.col(f"y{i}") for i in (L_SH, R_SH)]
     away = sq_dist(x * 1.0, y, F.col("px"), F.col("py") - F.col("h_px") / 2.0)
-    nearest = F.min(F.when(F.col("player_id").isNotNull(), F.struct(away.alias("d"), "player_id", F.coalesce(y < F.least(*tops), F.lit(False)).alias("above"))))
+    above = F.coalesce(y < F.least(*tops), F.lit(False))
+    # (distance in millionths, player, above) as one number: a minimum of structs would sort every pair of candidate and player
+    micro = F.floor(F.least(away, F.lit(9e8)) * 1e6 + 0.5).cast("decimal(16,0)")
+    key = micro * F.lit(Decimal(10**20)) + (F.col("player_id") * 10 + above.cast("int")).cast("decimal(20,0)")
     none = F.lit(False)
-    return d.groupBy(*CAND).agg(
-        F.bool_or(F.coalesce(hand, none)).alias("in_hand"), F.bool_or(F.coalesce(shoe, none)).alias("in_shoe"), nearest.alias("m"),
-    ).select(*CAND, "in_hand", "in_shoe", F.coalesce("m.above", none).alias("above"))
+    return d.groupBy(*CAND, *carry).agg(
+        F.bool_or(F.coalesce(hand, none)).alias("in_hand"), F.bool_or(F.coalesce(shoe, none)).alias("in_shoe"), F.min(key).alias("m"),
+    ).select(*CAND, "in_hand", "in_shoe", F.coalesce(F.pmod("m", F.lit(10).cast("decimal(38,0)")) == 1, none).alias("above"), *carry)
 
 
 # --- fixed values: candidate score terms ---
@@ -105,13 +111,13 @@ SKIN_SOFT, SKIN_HARD = 0.32, 0.58
 FAR_JUMP, JUMP_SCALE = 250.0, 500.0
 
 
-def pick_ball(cands: DataFrame, flags: DataFrame, last: DataFrame, threshold: float = 0.0) -> DataFrame:
+def pick_ball(cands: DataFrame, poses: DataFrame, last: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Best candidate per frame above the threshold.
 
     ``cands`` carries conf, skin and colour shares as columns; ``last`` the ball position known
-    before the frame.
+    before the frame. The candidates move once: what follows the flags is grouped and joined by the frame.
     """
-    d = cands.join(flags, CAND).join(last.select(*FRAME, "lx", "ly"), FRAME, "left")
+    d = hand_flags(cands, poses, carry=("cx", "cy", "conf", "skin", "colour")).join(last.select(*FRAME, "lx", "ly"), FRAME, "left")
     far = dist(F.col("cx"), F.col("cy"), F.col("lx"), F.col("ly"))
     zero = F.lit(0.0)
     score = (
