@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from matchloom.operators import colours
@@ -31,6 +32,30 @@ def test_index_reaches_its_recall(spark):
     assert inverted.recall_of(every, exact) == 1.0
 
 
+def test_nearest_in_wide_blocks_equals_brute_force_and_ties_go_to_the_lower_id():
+    """Single-precision products only leave out what cannot count: equal vectors, zero vectors and vectors that are no numbers included."""
+    rng = np.random.default_rng(3)
+    g = rng.normal(size=(5000, 8)).astype(np.float32)
+    g[2000:3500], g[3], g[7] = g[0], 0, np.nan
+    gid, q = np.arange(5000) * 2, g[:600]
+    u = np.nan_to_num(g.astype(float) / np.maximum(np.sqrt((g.astype(float) ** 2).sum(1, keepdims=True)), 1e-300), nan=np.nan)
+    for k in (1, 5, 64):
+        r, c, sim = knn.nearest(q, gid[:600], g, gid, k, True)
+        for i in (0, 1, 2, 3, 599):
+            s = np.einsum("ij,ij->i", np.broadcast_to(u[i], u.shape), u)
+            s[i] = s[7] = -np.inf
+            want = np.lexsort((gid, -s))[:k]
+            assert c[r == i].tolist() == want.tolist() and np.allclose(sim[r == i], s[want])
+        assert not (r == 7).any() and not (c == 7).any()
+
+
+def test_search_merges_one_list_of_hits_of_a_small_gallery(spark, monkeypatch):
+    """10,000 vectors are one gallery block: k hits a query to be merged, not k of each 4,096 vectors."""
+    g = spark.range(10_000).select(F.col("id").alias("vec_id"), F.lit(1).cast("long").alias("player_id"), F.array(F.rand(1), F.rand(2), F.rand(3)).alias("vec"))
+    monkeypatch.setattr(knn, "best_of", lambda hits, k: hits)
+    assert knn.top_k(g.select(F.col("vec_id").alias("query_id"), "vec"), g, 5).count() == 50_000
+
+
 def test_index_of_nothing(spark):
     empty = vectors(spark).limit(0)
     index = inverted.build(empty)
