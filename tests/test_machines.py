@@ -28,6 +28,21 @@ def test_greedy_assignment_equals_sorted_loop(spark):
     assert rows(assign_greedy(df), "match_id", "a", "b") == sorted(want)
 
 
+def test_greedy_assignment_walks_small_matches_and_goes_by_rounds_in_large_ones(spark):
+    rnd = random.Random(4)
+    pairs = [(m, a, b, rnd.randrange(40) / 40) for m in range(4) for a in range(6 + 3 * m) for b in range(12)]  # many ties
+    want = []
+    for m in range(4):
+        used = set()
+        for _m, a, b, _s in sorted((p for p in pairs if p[0] == m), key=lambda p: (-p[3], p[1], p[2])):
+            if not {("a", a), ("b", b)} & used:
+                used |= {("a", a), ("b", b)}
+                want.append((m, a, b))
+    df = spark.createDataFrame(pairs, "match_id bigint, a bigint, b bigint, score double")
+    for most in (0, 100, 1000):
+        assert rows(assign_greedy(df, most=most), "match_id", "a", "b") == sorted(want)
+
+
 def test_chain_roots(spark):
     e = spark.createDataFrame([(i, i - 1) for i in range(1, 20)] + [(31, 30)], "id bigint, parent bigint")
     assert rows(chain_roots(e), "id", "root") == [(i, 0) for i in range(1, 20)] + [(31, 30)]
